@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, language, mixing, packing, quality
+from . import hilbert, jaccard, language, mixing, packing, quality
 
 SHARDS = 40
 END_ID = 2
@@ -29,6 +29,10 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.JaccardJoin(table(spark, sf_dir, "documents"), k=3, percent=90).run()
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return pieces.select(
@@ -59,6 +63,6 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op5_cost_packing, op7_source_mix, op8_language_id, op10_rule_ledger)
+    for f in (op1_hilbert_shards, op2_ngram_jaccard, op5_cost_packing, op7_source_mix, op8_language_id, op10_rule_ledger)
 }
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, jaccard, language, mixing, packing, quality
+from . import hilbert, jaccard, language, mixing, packing, quality, substrings
 
 SHARDS = 40
 END_ID = 2
@@ -33,6 +33,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.JaccardJoin(table(spark, sf_dir, "documents"), k=3, percent=90).run()
 
 
+def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.SubstringDedup(table(spark, sf_dir, "documents"), length=20).run()
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return pieces.select(
@@ -63,6 +68,6 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op2_ngram_jaccard, op5_cost_packing, op7_source_mix, op8_language_id, op10_rule_ledger)
+    for f in (op1_hilbert_shards, op2_ngram_jaccard, op4_suffix_automata, op5_cost_packing, op7_source_mix, op8_language_id, op10_rule_ledger)
 }
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, jaccard, language, mixing, packing, quality, substrings
+from . import hilbert, jaccard, language, mixing, multiindex, packing, quality, substrings
 
 SHARDS = 40
 END_ID = 2
@@ -58,6 +58,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.MultiIndex(table(spark, sf_dir, "embeddings"), cosine=0.95).run()
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "v3")
     base = F.col("failed").bitwiseAND(F.lit(quality.policy_mask("v1"))) != 0
@@ -68,6 +72,6 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op2_ngram_jaccard, op4_suffix_automata, op5_cost_packing, op7_source_mix, op8_language_id, op10_rule_ledger)
+    for f in (op1_hilbert_shards, op2_ngram_jaccard, op4_suffix_automata, op5_cost_packing, op7_source_mix, op8_language_id, op9_multi_index, op10_rule_ledger)
 }
 ORACLES: dict[str, str] = {}

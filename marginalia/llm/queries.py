@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, jaccard, language, mixing, multiindex, packing, quality, substrings
+from . import backoff, hilbert, jaccard, language, mixing, multiindex, packing, quality, substrings
 
 SHARDS = 40
 END_ID = 2
@@ -45,6 +45,10 @@ def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "epochs", "part")
@@ -72,6 +76,6 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op2_ngram_jaccard, op4_suffix_automata, op5_cost_packing, op7_source_mix, op8_language_id, op9_multi_index, op10_rule_ledger)
+    for f in (op1_hilbert_shards, op2_ngram_jaccard, op4_suffix_automata, op5_cost_packing, op6_stupid_backoff, op7_source_mix, op8_language_id, op9_multi_index, op10_rule_ledger)
 }
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, hilbert, jaccard, language, mixing, multiindex, packing, quality, substrings
+from . import backoff, hilbert, jaccard, language, licenses, mixing, multiindex, packing, quality, substrings
 
 SHARDS = 40
 END_ID = 2
@@ -33,6 +33,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.JaccardJoin(table(spark, sf_dir, "documents"), k=3, percent=90).run()
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.SubstringDedup(table(spark, sf_dir, "documents"), length=20).run()
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -76,6 +80,6 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op2_ngram_jaccard, op4_suffix_automata, op5_cost_packing, op6_stupid_backoff, op7_source_mix, op8_language_id, op9_multi_index, op10_rule_ledger)
+    for f in (op1_hilbert_shards, op2_ngram_jaccard, op3_license_scan, op4_suffix_automata, op5_cost_packing, op6_stupid_backoff, op7_source_mix, op8_language_id, op9_multi_index, op10_rule_ledger)
 }
 ORACLES: dict[str, str] = {}

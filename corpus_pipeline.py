@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import language, mixing, packing, queries
+from marginalia.llm import jaccard, language, mixing, packing, queries, substrings
 from marginalia.llm.shared import Scratch
 
 #: A document whose nearest profile is this far off is in no known language.
 LEAST_SCORE = 0.2
+#: Near copies share 80 % or more of their five-word shingles.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: Passages of so many words or more stay only where they come first.
+PASSAGE_WORDS = 50
+#: Up to so many ids are sent to every task; beyond it, documents are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +27,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return known.select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the least id stays."""
+    join = jaccard.JaccardJoin(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    copies = join.scratch.save(join.run().filter("doc_id <> component_id").select("doc_id"), "copies")
+    return docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of long passages are cut out of the texts; a document that loses all its words goes."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = substrings.SubstringDedup(docs, PASSAGE_WORDS, carry=others, spacing=True).run()
+    left = found.filter("n_words > n_removed OR n_words = 0").withColumnRenamed("kept", "text")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, mixing.plan_mix(docs))
+    """Each source up to its target: whole epochs of it, then documents in random order up to the cut."""
+    mixed = mixing.mix(docs, mixing.plan_mix(docs))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +54,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", cut_repeated_passages),
     ("mixing sources to target weights", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -16,7 +16,7 @@ bounded reference that is broadcast.
 
 Defined cases: a null text has no words and becomes empty; texts below ``length`` words keep all;
 repeated rows (one id twice) count as one document read in any order, so ids should be unique; an empty
-table gives an empty result; other columns are carried only by ``apply_removal``'s caller.
+table gives an empty result; other columns are carried only if named.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import bytewise
@@ -155,15 +156,21 @@ def _ids(batch: pa.RecordBatch, row: int, n: int) -> np.ndarray:
 
 
 class SubstringDedup:
-    def __init__(self, docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text"):
+    """``carry`` names further columns to return; ``spacing`` keeps the white space of texts that lose no word."""
+
+    def __init__(
+        self, docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), spacing: bool = False
+    ):
         if length < GRAM:
             raise ValueError(f"length must be {GRAM} words at least")
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.length, self.id_col = length, id_col
+        own = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
+        self.docs = docs.select(*own)
+        self.whole = docs.select(*own, *(F.col(c).alias(f"_carry_{c}") for c in carry))
+        self.length, self.id_col, self.carry, self.spacing = length, id_col, carry, spacing
         self.scratch = Scratch(docs.sparkSession, "substrings")
 
-    def _joined(self, small: DataFrame, rows: int, how: str) -> DataFrame:
-        return self.docs.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, "id", how)
+    def _joined(self, docs: DataFrame, small: DataFrame, rows: int, how: str) -> DataFrame:
+        return docs.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, "id", how)
 
     def all_passages(self) -> DataFrame:
         """(anchor, hash, id, low, n): each document's passages, equal ones once."""
@@ -237,7 +244,7 @@ class SubstringDedup:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "low", "high"])
 
-        sent = self._joined(routes, rows, "inner").select("id", "text", "routes").mapInArrow(send, "anchor long, id long, low long, words binary")
+        sent = self._joined(self.docs, routes, rows, "inner").select("id", "text", "routes").mapInArrow(send, "anchor long, id long, low long, words binary")
         sent = scratch.save(sent, "shards")
         filed = sent.filter("words IS NOT NULL").repartition(shuffle_width(sent.sparkSession), "anchor").sortWithinPartitions("anchor", "id", "low")
         cut = filed.mapInArrow(stream, "id long, low long, high long")
@@ -265,10 +272,10 @@ class SubstringDedup:
         return scratch.save(merged.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
 
     def run(self) -> DataFrame:
-        """One row per document: id, ``n_words``, ``n_removed`` and ``kept``, the kept words joined by one blank."""
+        """One row per document: id, ``n_words``, ``n_removed``, ``kept`` (the kept words joined by one blank) and what is carried."""
         removed = self.removed_spans()
         rows = removed.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
-        length, kind = self.length, "long"
+        length, spacing = self.length, self.spacing
 
         def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -283,24 +290,31 @@ class SubstringDedup:
                             edge[base + r["low"]] += 1
                             edge[base + r["high"]] -= 1
                     keep = np.cumsum(edge)[:-1] == 0
-                    kept, offsets = keep_words(texts, keep)
                     counts = np.diff(texts.word_offsets)
                     left = np.diff(np.concatenate(([0], np.cumsum(keep)))[texts.word_offsets])
+                    kept, offsets = keep_words(texts, keep, (counts == left) & spacing)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(row, len(texts)), pa.array(counts.astype(np.int64)), pa.array((counts - left).astype(np.int64)),
                             pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(kept)),
+                            *(c.slice(row, len(texts)) for c in batch.columns[3:]),
                         ],
-                        ["id", "n_words", "n_removed", "kept"],
+                        ["id", "n_words", "n_removed", "kept", *batch.schema.names[3:]],
                     )
 
-        joined = self._joined(removed, rows, "left").select("id", "text", "spans")
-        return joined.mapInArrow(strip, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", self.id_col)
+        carried = [f"_carry_{c}" for c in self.carry]
+        joined = self._joined(self.whole, removed, rows, "left").select("id", "text", "spans", *carried)
+        schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept string")
+        for c in carried:
+            schema.add(joined.schema[c])
+        stripped = joined.mapInArrow(strip, schema)
+        return stripped.withColumnsRenamed({"id": self.id_col, **dict(zip(carried, self.carry))})
 
 
-def keep_words(texts: bytewise.Texts, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of the texts with only the kept words, joined by one blank."""
-    data = np.where(texts.inside, texts.data, np.uint8(0x20))
+def keep_words(texts: bytewise.Texts, keep: np.ndarray, as_is: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts with only the kept words, joined by one blank; or texts as they are."""
+    untouched = np.repeat(as_is, np.diff(texts.offsets))
+    data = np.where(texts.inside | untouched, texts.data, np.uint8(0x20))
     edge = np.zeros(len(data) + 1, np.int8)
     edge[texts.starts[keep]] += 1
     edge[texts.ends[keep]] -= 1
@@ -310,6 +324,7 @@ def keep_words(texts: bytewise.Texts, keep: np.ndarray) -> tuple[np.ndarray, np.
     follows = np.zeros(len(word), bool)
     follows[1:] = owner[1:] == owner[:-1]
     mask[texts.starts[word[follows]] - 1] = True
+    mask |= untouched
     return data[mask], np.concatenate(([0], np.cumsum(mask)))[texts.offsets]
 
 

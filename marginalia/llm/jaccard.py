@@ -7,10 +7,12 @@ lists are merged by shuffling them on the shingle. What they bring together is c
 ``divide_skip``: short lists are merged, long ones are probed by binary search, and what reaches the
 required overlap stays.
 
-A list is never expanded into all its pairs. Each list first tests one centre (the set with the least
-share of shingles of its own) against its other sets; those linked to it are one component, and by the
-triangle inequality of the Jaccard distance a set further than twice the limit from the centre cannot
-link to one within the limit. After the centres, only pairs still in different components are tested.
+A list is never expanded into all its pairs. In rounds, each list tests one centre (first the set with
+the least share of shingles of its own, then others by hash) against its sets of other components; those
+linked to it join its component, and by the triangle inequality of the Jaccard distance a set further
+than twice the limit from the first centre cannot link to one within the limit. After the rounds, only
+pairs still in different components are tested. Pairs whose parity maps differ in more bits than linked
+sets may differ in shingles are never looked at; that test loses nothing.
 
 Defined cases: a null or empty text has the empty set and links with nothing; fewer words than a shingle
 make one shingle; texts of any length are read whole; repeated rows are equal sets; an empty table gives
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,7 +33,11 @@ from . import bytewise
 from .graph import components
 from .shared import Scratch
 
-CENTRE_ROUNDS = 2
+#: Rounds of centres at most; they stop sooner once few pairs are left for the last step.
+CENTRE_ROUNDS = 6
+FEW_PAIRS = 100_000
+#: Bits of a set's parity map: bit b tells whether an odd number of its shingles hash to b.
+PARITY_BITS = 1024
 #: Routes up to this many rows are sent to every task; beyond it, documents are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Shingles that one group of a centre may hold; larger groups are split and the centre is repeated.
@@ -62,6 +68,11 @@ def shingle_sets(texts: bytewise.Texts, k: int, lower: bool) -> list[np.ndarray]
     return out
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    counts = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], required: np.ndarray) -> np.ndarray:
     """Overlap of ``query`` with each set that reaches its required overlap, else -1.
 
@@ -115,6 +126,10 @@ class Bounds:
         """Of the lowest hashes kept for a set of n, how many it surely shares with a partner of its size."""
         return min(n - self.missing(n), n // 10 + 2)
 
+    def differing(self, both: Column, percent: int) -> Column:
+        """Most shingles that only one of two sets holds, with ``both`` together."""
+        return both - 2 * F.ceil(percent * both / (100 + percent))
+
     def kept(self, n: int) -> int:
         return self.missing(n) + self.spare(n)
 
@@ -144,16 +159,19 @@ class JaccardJoin:
                     two = [int(bytewise.mix(~s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                     low = [s[: kept(len(s))].view(np.int64) for s in sets]
                     offsets = np.concatenate(([0], np.cumsum([len(x) for x in low])))
+                    maps = np.concatenate([parity_map(s) for s in sets])
+                    ends = np.arange(len(sets) + 1) * (PARITY_BITS // 64)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(row, len(texts)), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                             pa.array([prefix(n) if n else 0 for n in sizes], pa.int64()),
                             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(low) if low else [], pa.int64())),
+                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(maps)),
                         ],
-                        ["id", "n", "one", "two", "prefix", "low"],
+                        ["id", "n", "one", "two", "prefix", "low", "bits"],
                     )
 
-        return self.docs.mapInArrow(summarise, "id long, n long, one long, two long, prefix long, low array<long>")
+        return self.docs.mapInArrow(summarise, "id long, n long, one long, two long, prefix long, low array<long>, bits array<long>")
 
     def short_lists(self, distinct: DataFrame) -> DataFrame:
         """(token, id, n, own): the short lists of every distinct set that other sets are in too."""
@@ -216,28 +234,32 @@ class JaccardJoin:
         self.scratch.drop(f"{name}-routes")
         return found, pairs
 
-    def similar_in_size(self) -> object:
-        """Sets this far apart in size cannot reach ``2 p - 100`` percent."""
-        near = max(1, 2 * self.percent - 100)
-        return (F.least("n", "cn") * 100 >= F.greatest("n", "cn") * near) & (F.col("id") != F.col("c"))
+    def possible(self, percent: int) -> Column:
+        """Whether sizes and parity maps of (id, n, bits) and (c, cn, cbits) allow a similarity of ``percent``."""
+        sizes = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
+        differ = F.aggregate(F.zip_with("bits", "cbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, v: a + v)
+        return sizes & (differ <= self.bounds.differing(F.col("n") + F.col("cn"), percent))
 
     def run(self) -> DataFrame:
         """One row per document: id, ``n_shingles``, ``component_id`` (the least id linked to it)."""
         scratch = self.scratch
         summary = scratch.save(self.summaries(), "summary")
         same = ["n", "one", "two"]
-        distinct = summary.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("low").alias("low"))
+        distinct = summary.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.first("bits").alias("bits"))
         distinct = scratch.save(distinct, "distinct")
         lists = scratch.save(self.short_lists(distinct), "lists")
         longer = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("token")
-        lists = scratch.save(lists.join(longer, "token"), "merged").withColumn("label", F.col("id"))
+        maps = distinct.select("id", "bits")
+        lists = scratch.save(lists.join(longer, "token").join(maps, "id"), "merged")
+        lists = lists.withColumns({"label": F.col("id"), "used": F.lit(0), "state": F.lit(1)})
+        near_percent = max(1, 2 * self.percent - 100)
         links = tested = None
         for k in range(CENTRE_ROUNDS):
-            # the centre of a list: not a centre before if it can be helped, then least of its own, then least id
-            order = F.struct(F.col("used"), F.col("own"), F.col("id"), F.col("n"), F.col("label")) if k else F.struct("own", "id", "n", "label")
+            first = F.col("own") if k == 0 else F.xxhash64("token", "id")
+            order = F.struct(F.col("used"), first.alias("first"), F.col("id"), F.col("n"), F.col("label"), F.col("bits"))
             centre = lists.groupBy("token").agg(F.min(order).alias("x"), F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b")
-            centre = centre.select("token", F.col("x.id").alias("c"), F.col("x.n").alias("cn"), F.col("x.label").alias("cl"))
-            pairs = lists.join(centre, "token").filter(self.similar_in_size() & (F.col("label") != F.col("cl"))).select("c", "id", "n").distinct()
+            centre = centre.select("token", F.col("x.id").alias("c"), F.col("x.n").alias("cn"), F.col("x.label").alias("cl"), F.col("x.bits").alias("cbits"))
+            pairs = lists.join(centre, "token").filter((F.col("label") != F.col("cl")) & self.possible(near_percent)).select("c", "id", "n").distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["c", "id"], "left_anti")
             found, done = self.measure(pairs, f"round-{k}")
@@ -249,20 +271,23 @@ class JaccardJoin:
             grouped = scratch.save(components(links, scratch, f"graph-{k}"), f"labels-{k}")
             if k == 0:
                 # (centre, id): near or linked; what is not here is far from the list's centre
-                near = found.select("c", "id", "linked")
-                lists = lists.join(centre.select("token", "c"), "token", "left").join(near, ["c", "id"], "left")
+                lists = lists.join(centre.select("token", "c"), "token", "left").join(found.select("c", "id", "linked"), ["c", "id"], "left")
                 state = F.when((F.col("id") == F.col("c")) | F.col("linked"), 0).when(F.col("linked").isNotNull(), 1).otherwise(2)
                 lists = lists.withColumn("state", F.when(F.col("c").isNull(), 1).otherwise(state)).drop("c", "linked")
-            lists = lists.drop("label", "used").join(grouped, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-            centres = done.select("c").distinct().withColumn("used", F.lit(1))
-            lists = lists.join(centres.withColumnRenamed("c", "id"), "id", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-            lists = scratch.save(lists, f"lists-{k}")
-        several = lists.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("token")
-        left = lists.join(several, "token")
-        other = left.select("token", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("state").alias("cs"))
-        close = (F.least("n", "cn") * 100 >= F.greatest("n", "cn") * self.percent) & (F.col("label") != F.col("cl"))
-        possible = close & (F.col("c") < F.col("id")) & (F.abs(F.col("state") - F.col("cs")) < 2)
-        pairs = left.join(other, "token").filter(possible).select("c", "id", "n").distinct().join(tested, ["c", "id"], "left_anti")
+            centres = centre.select(F.col("c").alias("id")).distinct().withColumn("_used", F.lit(1))
+            lists = lists.join(grouped, "id", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+            lists = lists.join(centres, "id", "left").withColumn("used", F.greatest("used", F.coalesce("_used", F.lit(0)))).drop("_used")
+            # lists whose sets are all one component are done
+            several = lists.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("token")
+            lists = scratch.save(lists.join(several, "token"), f"lists-{k}")
+            scratch.drop(f"lists-{k - 1}" if k else "lists")
+            by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("token")
+            crossing = by_label.agg((F.pow(F.sum("m"), F.lit(2.0)) - F.sum(F.pow("m", F.lit(2.0)))).alias("x")).agg(F.sum("x").alias("x")).first()["x"] or 0
+            if crossing <= 2 * FEW_PAIRS:
+                break
+        other = lists.select("token", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("state").alias("cs"), F.col("bits").alias("cbits"))
+        apart = (F.col("label") != F.col("cl")) & (F.col("c") < F.col("id")) & (F.abs(F.col("state") - F.col("cs")) < 2)
+        pairs = lists.join(other, "token").filter(apart & self.possible(self.percent)).select("c", "id", "n").distinct().join(tested, ["c", "id"], "left_anti")
         found, _ = self.measure(pairs, "rest")
         links = links.unionByName(found.filter("linked").select(F.col("c").alias("u"), F.col("id").alias("v")))
         grouped = components(links, scratch, "graph-rest").withColumnRenamed("id", "rep")

@@ -138,7 +138,8 @@ def grounding(answers: DataFrame, bodies: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["answer_id", "at", "n", "claim"])
 
     claims = answers.join(numbers, "answer_id").select("answer_id", "text", "ns").mapInPandas(cut, f"answer_id {kind}, at int, n int, claim array<string>")
-    sources = bodies.select("answer_id", "s", claim_grams(X.nfkc("body")).alias("grams"))
+    normal = bodies.select("answer_id", "s", X.nfkc("body").alias("body"))
+    sources = normal.select("answer_id", "s", claim_grams(F.col("body")).alias("grams"))
     scored = claims.join(sources, "answer_id").select("answer_id", "at", "n", "s", overlap(F.col("claim"), F.col("grams")).alias("o"))
     per_claim = scored.groupBy("answer_id", "at", "n").agg(
         F.max(F.when(F.col("s") == F.col("n"), F.col("o"))).alias("own"), F.coalesce(F.max(F.when(F.col("s") != F.col("n"), F.col("o"))), F.lit(0.0)).alias("best")

@@ -29,6 +29,8 @@ BANDS = 32
 CONTAINMENT = 0.8
 MOST_TEMPLATE_SHINGLES = 20_000
 
+COMMON = frozenset("a an and any are as at be by for in is it not of on or that the this to under use with work you".split())
+
 # fixed values: public license notices
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -74,7 +76,7 @@ def window_size(shingle_count: Column) -> Column:
 
 
 def hitting_words(texts: list[str]) -> list[str]:
-    """A few words such that every shingle of every text holds one; long words are rarer, so preferred."""
+    """A few words such that every shingle of every text holds one; long words are rarer, so preferred, and common ones last."""
     every = []
     for text in texts:
         own = re.findall(r"[a-z0-9]+", text.lower())
@@ -82,7 +84,7 @@ def hitting_words(texts: list[str]) -> list[str]:
     chosen: list[str] = []
     while every := [s for s in every if s and not s & set(chosen)]:
         counts = {w: sum(w in s for s in every) for s in every for w in s}
-        chosen.append(max(sorted(counts), key=lambda w: counts[w] * len(w) ** 2))
+        chosen.append(max(sorted(counts), key=lambda w: (w not in COMMON, counts[w] * len(w) ** 2)))
     return chosen
 
 
@@ -109,7 +111,8 @@ def scan(
     cut = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(some)
     cut = cut.select("_id", words(F.col("_text")).alias("_w")).select("_id", shingles("_w").alias("s"))
     places = F.filter(F.transform("s", lambda x, i: F.when(x.isin(held), i)), lambda i: i.isNotNull())
-    cut = cut.withColumn("hits", places).filter(F.size("hits") > 0)
+    # no filter on what follows: the optimiser would move it below and compute the words once per shingle
+    cut = cut.withColumn("hits", places)
 
     def starts(size: int) -> str:
         step = max(1, size // 4)

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..limits import SUBSTRING_POOL, TOP_K
+from ..lineage import cut
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -120,8 +121,7 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> Dat
     the needles are added to its hits, and chunks that only the scan found follow. Excluded terms are
     applied after the cut where BM25 answers alone, before it where both do, as the contract has it.
     """
-    # k rows a query, read several times below; recomputed if an executor that holds them is lost
-    full = bm25_top(chunks, queries, k).withColumn("first", F.lit(0)).persist()
+    full = cut(bm25_top(chunks, queries, k).withColumn("first", F.lit(0)))  # k rows a query, read several times below
     terms = X.query_terms(X.without_negated(F.col("query")))
     asked = queries.join(full.select("query_id").distinct().withColumn("found", F.lit(True)), "query_id", "left")
     asked = asked.withColumns({"short": F.exists(terms, lambda t: F.length(t) < 3), "found": F.coalesce("found", F.lit(False))})
@@ -136,9 +136,9 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> Dat
     rest = rest.join(needs.select("query_id", "found"), "query_id")
     merged = both.withColumn("found", F.lit(True)).unionByName(rest)
     # found: exclusions, then the cut; not found: the cut, then exclusions
-    cut = top(merged.filter("NOT found").drop("rank"), "bm25", k, "chunk_id")
+    scan_only = top(merged.filter("NOT found").drop("rank"), "bm25", k, "chunk_id")
     kept = top(drop_excluded(merged.filter("found"), chunks, queries).withColumnRenamed("rank", "was"), "bm25", k, "first", "was", "chunk_id")
-    parts = [drop_excluded(alone, chunks, queries), drop_excluded(cut, chunks, queries), kept]
+    parts = [drop_excluded(alone, chunks, queries), drop_excluded(scan_only, chunks, queries), kept]
     columns = ["query_id", "chunk_id", "source_id", "bm25", "rank"]
     every = parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns))
     order = Window.partitionBy("query_id").orderBy("rank")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..limits import TOP_K
+from ..lineage import cut
 from .fusion import minmax, mmr, ranked_lists, rerank, rrf
 from .lexical import drop_excluded, lexical_search
 from .vector import vector_search
@@ -23,11 +24,11 @@ def _again(hits: DataFrame) -> DataFrame:
 
 
 def finish(lists: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    fused = rrf(lists)
+    fused = rrf(cut(lists))
     fused = fused.withColumn("score", minmax(F.col("score"), Window.partitionBy("query_id")))
     clean = F.when(F.size(X.negated_terms(F.col("query"))) > 0, X.without_negated(F.col("query"))).otherwise(F.col("query"))
     hits = fused.join(queries.select("query_id", clean.alias("query")), "query_id").join(chunks.select("chunk_id", "text", "context"), "chunk_id")
-    chosen = mmr(rerank(hits).persist(), k)  # a pool a query
+    chosen = mmr(cut(rerank(hits)), k)  # a pool a query
     return chosen.select("query_id", "rank", "chunk_id", "source_id", "score", "bm25", "vec", "text", "context", "detail")
 
 

@@ -15,7 +15,7 @@ def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    value = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     fit = (F.size(a) > 0) & (F.size(a) == F.size(b)) & (dot(a, a) > 0) & (dot(b, b) > 0)
     finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
     return F.coalesce(F.when(fit & finite, value), F.lit(0.0))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..limits import MAX_QUESTION_CHARS, OVERVIEW_TOKENS, SUGGESTION_TOKENS, TOP_K, EngineError
+from ..lineage import cut
 from ..operators import citations, overview
 from ..operators.context import build_context, messages_for
 from ..operators.retrieve import retrieve, retrieve_multi
@@ -93,14 +94,14 @@ def ask(
     ``earlier`` has (query_id, messages) of the conversation; ``phrasings`` switches to fused rewrites. A
     model that fails gives excerpts, marked degraded; no hit gives a plain notice.
     """
-    hits = retrieve(chunks, questions, k) if phrasings is None else retrieve_multi(chunks, phrasings, k)
-    context = build_context(hits, sources)
+    hits = cut(retrieve(chunks, questions, k) if phrasings is None else retrieve_multi(chunks, phrasings, k))
+    context = cut(build_context(hits, sources))
     past = F.lit(None).cast("array<struct<role:string,content:string>>")
     asked = questions.join(context, "query_id")
     if earlier is not None:
         asked, past = asked.join(earlier.withColumnRenamed("messages", "_past"), "query_id", "left"), F.col("_past")
     prompts = asked.select(F.col("query_id").alias("key"), messages_for(F.col("block"), F.col("query"), past).alias("messages"))
-    made = generate(prompts, make).withColumnRenamed("key", "query_id")
+    made = cut(generate(prompts, make).withColumnRenamed("key", "query_id"))  # a model is asked once
     full = made.join(degraded_text(hits).withColumnRenamed("text", "excerpts"), "query_id", "left")
     answers = full.select(F.col("query_id").alias("answer_id"), F.coalesce("text", "excerpts").alias("text"), "failed")
     listed = context.select(F.col("query_id").alias("answer_id"), F.inline("sources"))
@@ -123,8 +124,8 @@ def studio(chunks: DataFrame, sources: DataFrame, kind: str, make: Callable[[],
         raise EngineError("STUDIO_KIND_INVALID", kind)
     from ..operators.context import SYSTEM_PROMPT
 
-    context = overview_context(chunks, sources, overview.OVERVIEW_CHUNKS_PER_SOURCE, OVERVIEW_TOKENS)
-    made = generate(_prompts(context, overview.document_prompt(F.col("block"), kind), SYSTEM_PROMPT), make)
+    context = cut(overview_context(chunks, sources, overview.OVERVIEW_CHUNKS_PER_SOURCE, OVERVIEW_TOKENS))
+    made = cut(generate(_prompts(context, overview.document_prompt(F.col("block"), kind), SYSTEM_PROMPT), make))
     answers = made.filter("NOT failed").select(F.col("key").alias("answer_id"), "text")
     listed = context.select(F.col("query_id").alias("answer_id"), F.inline("sources"))
     checked = citations.report(answers, listed).join(answers, "answer_id")

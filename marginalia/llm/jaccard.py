@@ -36,6 +36,8 @@ from .shared import Scratch
 #: Rounds of centres at most; they stop sooner once few pairs are left for the last step.
 CENTRE_ROUNDS = 6
 FEW_PAIRS = 100_000
+#: A round that leaves more than this share of the pairs has met lists of unlike sets, which centres don't join.
+SLOW_ROUND = 0.7
 #: Bits of a set's parity map: bit b tells whether an odd number of its shingles hash to b.
 PARITY_BITS = 1024
 #: Routes up to this many rows are sent to every task; beyond it, documents are joined by a shuffle.
@@ -253,7 +255,7 @@ class JaccardJoin:
         lists = scratch.save(lists.join(longer, "token").join(maps, "id"), "merged")
         lists = lists.withColumns({"label": F.col("id"), "used": F.lit(0), "state": F.lit(1)})
         near_percent = max(1, 2 * self.percent - 100)
-        links = tested = None
+        links, tested, before = None, None, float("inf")
         for k in range(CENTRE_ROUNDS):
             first = F.col("own") if k == 0 else F.xxhash64("token", "id")
             order = F.struct(F.col("used"), first.alias("first"), F.col("id"), F.col("n"), F.col("label"), F.col("bits"))
@@ -283,8 +285,9 @@ class JaccardJoin:
             scratch.drop(f"lists-{k - 1}" if k else "lists")
             by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("token")
             crossing = by_label.agg((F.pow(F.sum("m"), F.lit(2.0)) - F.sum(F.pow("m", F.lit(2.0)))).alias("x")).agg(F.sum("x").alias("x")).first()["x"] or 0
-            if crossing <= 2 * FEW_PAIRS:
+            if crossing <= 2 * FEW_PAIRS or crossing > SLOW_ROUND * before:
                 break
+            before = crossing
         other = lists.select("token", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("state").alias("cs"), F.col("bits").alias("cbits"))
         apart = (F.col("label") != F.col("cl")) & (F.col("c") < F.col("id")) & (F.abs(F.col("state") - F.col("cs")) < 2)
         pairs = lists.join(other, "token").filter(apart & self.possible(self.percent)).select("c", "id", "n").distinct().join(tested, ["c", "id"], "left_anti")

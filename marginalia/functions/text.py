@@ -93,8 +93,11 @@ def kana_swap(c: Column) -> Column:
 
 def grams(c: Column, n: int) -> Column:
     """Character n-grams in order; none if the text is shorter."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.length(c) >= n, every).otherwise(F.array().cast("array<string>"))
+    chars = F.split(c, "")
+    every = chars
+    for k in range(2, n + 1):  # characters are zipped, since a substring walks the text up to its place
+        every = F.zip_with(every, F.slice(chars, k, F.length(c)), lambda a, b: F.concat(a, b))
+    return F.when(F.length(c) >= n, F.slice(every, 1, F.length(c) - (n - 1))).otherwise(F.array().cast("array<string>"))
 
 
 def starts_cjk(c: Column) -> Column:

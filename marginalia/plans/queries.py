@@ -182,9 +182,9 @@ def neg_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.negated_terms(asked), " ").alias("excluded"), X.without_negated(asked).alias("clean"))
 
 
-@query("""SELECT * FROM (VALUES ('コンピュータ', 'こんぴゅーた'), ('こんぴゅーた', 'コンピュータ'), ('書院', '書院'), ('書院は', '書院ハ')) AS t(term, swapped)""")
+@query("""SELECT * FROM (VALUES ('コンピュータ', 'こんぴゅーた'), ('こんぴゅーた', 'コンピュータ'), ('書庫', '書庫'), ('書庫は', '書庫ハ')) AS t(term, swapped)""")
 def kana_alt(spark, sf_dir):
-    rows = spark.createDataFrame([("コンピュータ",), ("こんぴゅーた",), ("書院",), ("書院は",)], "term string")
+    rows = spark.createDataFrame([("コンピュータ",), ("こんぴゅーた",), ("書庫",), ("書庫は",)], "term string")
     return rows.select("term", X.kana_swap(F.col("term")).alias("swapped"))
 
 

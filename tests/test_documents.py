@@ -103,12 +103,12 @@ def test_extract_and_validate(spark):
     assert (rows[4]["v"], rows[4]["i"]) == ([1, 2, 3], [0, 9, 100])
 
 
-S1, S2 = "書院は文書を引用付きで検索するローカルアプリである。", "和紙は楮の繊維を漉いて作られる伝統的な紙である。"
+S1, S2 = "書庫は文書を引用付きで検索するローカルアプリである。", "和紙は楮の繊維を漉いて作られる伝統的な紙である。"
 GROUNDING = [
-    ("書院は引用付きで検索する[S1]。", (S1, S2), [1], []),
+    ("書庫は引用付きで検索する[S1]。", (S1, S2), [1], []),
     ("収益が大きく伸びた[S1]。", ("売上高は前年比15%増加した。", S2), [], []),
     ("和紙は楮から作られる[S2]。", ("和紙は楮から作られる。", "量子コンピュータは高速に計算する。"), [], [2]),
-    ("書院は引用付きで検索する[S1]。火星には恐竜が生息している[S2]。", (S1, S2), [1], []),
+    ("書庫は引用付きで検索する[S1]。火星には恐竜が生息している[S2]。", (S1, S2), [1], []),
     ("和紙は楮の繊維から作られる紙であり[S2]、活版印刷は金属活字を組む技術である[S1]。", ("和紙は楮の繊維から作られる伝統的な紙である。", "活版印刷は金属活字を組んで版を作る技術である。"), [], [1, 2]),
     ("無関係な主張[S9]。", (S1, S2), [], []),
 ]
@@ -121,8 +121,8 @@ def test_grounding(spark):
 
 
 def test_uncited(spark):
-    one = "書院は軽量LLM向けのローカルツールである。"
-    want = {one: [one], one + "[S1]": [], "書院はローカルツールである[S1]。猫は液体であるという説がある。": ["猫は液体であるという説がある。"], "はい。": [], "その件についてはソースに記載なしです。": [], "書院とは何ですか？": [], "What is the capital of France? Paris has existed for centuries.": ["Paris has existed for centuries."]}
+    one = "書庫は軽量LLM向けのローカルツールである。"
+    want = {one: [one], one + "[S1]": [], "書庫はローカルツールである[S1]。猫は液体であるという説がある。": ["猫は液体であるという説がある。"], "はい。": [], "その件についてはソースに記載なしです。": [], "書庫とは何ですか？": [], "What is the capital of France? Paris has existed for centuries.": ["Paris has existed for centuries."]}
     got = {r["answer_id"]: r["uncited"] for r in citations.uncited(answers(spark, *want)).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from marginalia.operators import evaluate, fusion, lexical, retrieve, vector
 
 CHUNKS = [
-    (0, 1, 1, "", "書院は知の書斎である。引用付きで文書と対話する。", [1.0, 0.0]),
+    (0, 1, 1, "", "書庫は知の書斎である。引用付きで文書と対話する。", [1.0, 0.0]),
     (1, 1, 1, "", "本日の天気は晴れ。気温は二十五度。", [0.0, 1.0]),
     (2, 1, 1, "", "猫は液体である説。", [0.0, 1.0]),
     (3, 2, 1, "", "Shelves is a local notebook. Citations are machine verified.", [0.0, 1.0]),
@@ -79,7 +79,7 @@ def test_rerank_mmr_minmax(spark):
 
 
 def test_hybrid(spark, chunks):
-    found = retrieve.retrieve(chunks, asked(spark, "書院 対話", vec=[1.0, 0.0]), 3).persist()
+    found = retrieve.retrieve(chunks, asked(spark, "書庫 対話", vec=[1.0, 0.0]), 3).persist()
     assert ids(found)[0] == 0 and found.count() == 3
     rows = [(0, 0, 1, "fox -dog", None), (0, 1, 1, "lazy dog", None), (0, 2, 1, "machine citations", None)]
     phrasings = spark.createDataFrame(rows, "query_id long, phrasing int, notebook_id long, query string, vector array<float>")

@@ -16,7 +16,7 @@ def each(spark, values, column):
 
 
 def test_token_estimate(spark):
-    texts = ["書院 notebook 123", "parse_user_input", "a" * 41, "a" * 44, "a" * 45, "", "é", "Привет"]
+    texts = ["書庫 notebook 123", "parse_user_input", "a" * 41, "a" * 44, "a" * 45, "", "é", "Привет"]
     assert each(spark, texts, X.token_estimate) == [4, 1, 2, 2, 3, 0, 0, 0] == [K.estimate(t) for t in texts]
 
 
@@ -25,9 +25,9 @@ def test_query_terms(spark):
 
 
 def test_phrases_and_needles(spark):
-    got = each(spark, ['weather "quote', "書院は", "書院学", "ab", "コード学"], X.phrases)
-    assert got == [["weather", "quote"], ["書院は", "書院ハ"], ["書院学"], [], ["コード", "ード学", "こーど", "ーど学"]]
-    assert each(spark, ["猫 A is", "書院学"], X.needles) == [["is", "猫"], ["書院", "院学"]]
+    got = each(spark, ['weather "quote', "書庫は", "書庫学", "ab", "コード学"], X.phrases)
+    assert got == [["weather", "quote"], ["書庫は", "書庫ハ"], ["書庫学"], [], ["コード", "ード学", "こーど", "ーど学"]]
+    assert each(spark, ["猫 A is", "書庫学"], X.needles) == [["is", "猫"], ["書庫", "庫学"]]
 
 
 def test_negated(spark):
@@ -85,7 +85,7 @@ def scanned_tail(text, tokens):
 def test_tail_and_truncate(seed):
     rng = random.Random(seed)
     for _ in range(60):
-        parts = [rng.choice(["a", "word", "x" * rng.randrange(38, 60), "猫", "書院", " ", "  \n", "。", "é", "-"]) for _ in range(rng.randrange(14))]
+        parts = [rng.choice(["a", "word", "x" * rng.randrange(38, 60), "猫", "書庫", " ", "  \n", "。", "é", "-"]) for _ in range(rng.randrange(14))]
         text = "".join(parts)
         for limit in (0, 1, 2, 3, 5, 9):
             want = next((text[:i] for i in range(len(text), -1, -1) if K.estimate(text[:i]) <= limit), "") if limit else ""

@@ -1,12 +1,14 @@
 """Embedding near-dedup with an inverted multi-index.
 
-Two codebooks, one for each half of a vector, form a grid of cells. Every vector is filed in its cell
-and asks the cells nearest to it in multi-sequence order; how many is calibrated on sampled queries
-against all rows until ``recall`` of their true links would be met. What a cell holds is compared with
-what asks for it by exact cosine in double precision, block by block; blocks return counts and a
-spanning set of links, never all pairs. A pair counts once, whichever of its two ends finds it.
+Two codebooks, one for each half of a vector, form a grid of cells. Every vector is filed in its cell;
+neighbouring cells are packed into blocks of bounded size. A vector asks every block with a cell that
+could hold a link of it: unit vectors of cosine c are sqrt(2 - 2c) apart, and each half of a vector is at
+least as far from any other code's share of space as from the plane between that code and the nearest.
+So no link is missed. Blocks that ask each other are compared by exact cosine in double precision and
+return counts and a spanning set of links, never all pairs. Where directions are spread evenly the bound
+rules out little, and the work is that of all pairs of blocks.
 
-Equal vectors stand as one. Large cells are split into blocks, and so are the vectors that ask for them.
+Equal vectors stand as one. Large cells are split into blocks.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with
 nothing; vectors of different lengths are in different grids; ties go to the smaller id; an empty table
@@ -27,11 +29,11 @@ from .shared import Scratch
 
 #: Codebooks are fitted on at most so many vectors, those whose id hashes lowest.
 FIT_ROWS = 8192
-#: Calibration asks for so many of them against all rows.
-CALIBRATION_ROWS = 128
 #: Mean vectors of a cell that the grid is sized for.
 CELL_ROWS = 128
+#: Vectors of a block at most; small tables are cut into ``SPREAD`` blocks.
 BLOCK = 4096
+SPREAD = 16
 
 
 def unit(rows: list, width: int) -> np.ndarray:
@@ -90,6 +92,22 @@ class Grid:
         one, two = self.distances(x)
         return np.argmin(one, axis=1) * self.shape[1] + np.argmin(two, axis=1)
 
+    def least(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each half, the squared distance from ``x`` that whatever is filed under a code has at least.
+
+        It is nearer to its own code than to the one nearest to ``x``, so it is beyond the plane between
+        the two. Rounding is allowed for; codes that are all but equal give no bound.
+        """
+        out = []
+        for far, book in zip(self.distances(x), self.books):
+            norms = (book * book).sum(1)
+            apart = norms[:, None] - 2 * book @ book.T + norms
+            near = np.argmin(far, axis=1)
+            gap = (far - far[np.arange(len(x)), near][:, None]) / (2 * np.sqrt(np.maximum(apart[near], 1e-9)))
+            gap[apart[near] < 1e-9] = 0
+            out.append(np.maximum(gap * (1 - 1e-5) - 1e-6, 0) ** 2)
+        return out
+
     def place(self, one: np.ndarray, two: np.ndarray, cell: int) -> int:
         """Place of a cell in the order of a query with these half distances."""
         least = one[cell // self.shape[1]] + two[cell % self.shape[1]]
@@ -97,9 +115,9 @@ class Grid:
 
 
 class MultiIndex:
-    def __init__(self, vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding"):
+    def __init__(self, vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding"):
         self.vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-        self.cosine, self.recall, self.id_col = cosine, recall, id_col
+        self.cosine, self.id_col = cosine, id_col
         self.scratch = Scratch(vectors.sparkSession, "multiindex")
 
     @staticmethod
@@ -115,123 +133,122 @@ class MultiIndex:
         k = max(1, min(1024, len(sample) // 4, 1 << max(0, round(np.log2(max(1.0, (rows / CELL_ROWS)) ** 0.5)))))
         return {w: Grid(unit(some, w), k) for w, some in by_width.items()}
 
-    def calibrate(self, distinct: DataFrame, grids: dict[int, Grid]) -> int:
-        """Cells to visit so that the sampled queries would meet, on average, ``recall`` of their links in all rows."""
-        sample = distinct.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION_ROWS).select("id", "v").collect()
-        asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for w in {len(r["v"]) for r in sample}:
-            own = [r for r in sample if len(r["v"]) == w]
-            asked[w] = (np.array([r["id"] for r in own]), unit([list(r["v"]) for r in own], w))
-        cosine = self.cosine
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, widths = np.array(batch.column(0)), np.array(batch.column(2))
-                found: dict[tuple[int, int], int] = {}
-                for w, (keys, queries) in asked.items():
-                    own = np.flatnonzero(widths == w)
-                    if w not in grids or not len(own):
-                        continue
-                    x = matrix(batch.column(1).take(pa.array(own)), w)
-                    near = (queries @ x.T >= cosine) & (keys[:, None] != ids[own][None, :])
-                    cells, halves = grids[w].cells(x), grids[w].distances(queries)
-                    for i in np.flatnonzero(near.any(axis=1)):
-                        values, counts = np.unique(cells[near[i]], return_counts=True)
-                        for cell, n in zip(values.tolist(), counts.tolist()):
-                            key = (int(keys[i]), grids[w].place(halves[0][i], halves[1][i], cell))
-                            found[key] = found.get(key, 0) + n
-                if found:
-                    rows = [(q, p, n) for (q, p), n in found.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["q", "place", "n"])
-
-        hits = distinct.select("id", "v", F.size("v").alias("w")).mapInArrow(score, "q long, place long, n long")
-        by_place = hits.groupBy("q", "place").agg(F.sum("n").alias("n"))
-        share = by_place.join(by_place.groupBy("q").agg(F.sum("n").alias("t")), "q").groupBy("place").agg(F.sum(F.col("n") / F.col("t")).alias("s"))
-        rows = sorted((r["place"], r["s"]) for r in share.collect())  # at most one row a cell
-        total, met = sum(s for _, s in rows), 0.0
-        for place, s in rows:
-            met += s
-            if met >= self.recall * total:
-                return max(8, place + 1)
-        return 8
-
-    def file(self, distinct: DataFrame, grids: dict[int, Grid], count: int) -> DataFrame:
-        """Each vector with its cell and the cells it visits."""
+    def file(self, distinct: DataFrame, grids: dict[int, Grid]) -> DataFrame:
+        """Each vector with its cell; the length is part of the cell's number."""
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 widths = np.array(batch.column(3))
-                cells = np.zeros(batch.num_rows, np.int64)
-                visits: list = [None] * batch.num_rows
+                cells = widths.astype(np.int64) << 32  # a length that the sample lacks has one cell
                 for w in np.unique(widths).tolist():
-                    own, base = np.flatnonzero(widths == w), w << 32
                     if w in grids:
-                        x = matrix(batch.column(1).take(pa.array(own)), w)
-                        cells[own] = grids[w].cells(x) + base
-                        found = (grids[w].visits(x, count) + base).tolist()
-                    else:  # a length that the sample lacks has one cell
-                        cells[own], found = base, [[base]] * len(own)
-                    for i, f in zip(own.tolist(), found):
-                        visits[i] = f
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(visits, pa.list_(pa.int64()))], ["id", "v", "m", "w", "cell", "visits"])
+                        own = np.flatnonzero(widths == w)
+                        cells[own] += grids[w].cells(matrix(batch.column(1).take(pa.array(own)), w))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], ["id", "v", "m", "w", "cell"])
 
         kind = distinct.schema["v"].dataType.simpleString()
         rows = distinct.select("id", "v", "m", F.size("v").alias("w"))
-        return rows.mapInArrow(place, f"id long, v {kind}, m long, w int, cell long, visits array<long>")
+        return rows.mapInArrow(place, f"id long, v {kind}, m long, w int, cell long")
+
+    def pack(self, filed: DataFrame, grids: dict[int, Grid], rows: int) -> DataFrame:
+        """One row per block: its vectors, and ``reach``, the blocks from itself on that some of them ask."""
+        size, within = max(1, min(BLOCK, rows // SPREAD)), 2 - 2 * self.cosine + 1e-9
+        counts = sorted((r["cell"], r["n"]) for r in filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a cell
+        first, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+        block, held, width = -1, size, None
+        for k, (cell, n) in enumerate(counts):
+            if held + n > size or cell >> 32 != width:
+                block, held, width = block + 1, 0, cell >> 32
+            first[k], parts[k] = block, n // size + 1 if n > size else 1
+            block, held = block + int(parts[k]) - 1, held + n
+        keys = np.array([cell for cell, _ in counts], np.int64)
+        in_block = np.concatenate([np.arange(f, f + p) for f, p in zip(first, parts)]) if len(keys) else first
+        in_cell = np.repeat(keys, parts)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.searchsorted(keys, np.array(batch.column(4)))
+                own = first[at] + np.array(batch.column(5)) % parts[at]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own)], ["id", "v", "m", "w", "block"])
+
+        def packed(table: pa.Table) -> pa.Table:
+            own, w = table["block"][0].as_py(), table["w"][0].as_py()
+            flat = table["v"].combine_chunks().flatten()
+            x = matrix(table["v"].combine_chunks(), w)
+            some = np.flatnonzero((in_cell >> 32 == w) & (in_block >= own))
+            blocks, starts = np.unique(in_block[some], return_index=True)
+            asks = np.ones((len(x), len(blocks)), bool)
+            if w in grids:
+                one, two = grids[w].least(x)
+                a, b = np.divmod(in_cell[some] & 0xFFFFFFFF, grids[w].shape[1])
+                step = max(1, (1 << 22) // len(some))
+                for low in range(0, len(x), step):
+                    near = one[low : low + step, a] + two[low : low + step, b] <= within
+                    asks[low : low + step] = np.logical_or.reduceat(near, starts, axis=1)
+            reach = [{"b": int(blocks[k]), "asks": np.packbits(asks[:, k]).tobytes()} for k in np.flatnonzero(asks.any(axis=0))]
+            whole = [np.array(table[c], np.int64).tobytes() for c in ("id", "m")]
+            kind = pa.list_(pa.struct([("b", pa.int64()), ("asks", pa.binary())]))
+            return pa.table(
+                [pa.array([own]), pa.array([w], pa.int32()), *(pa.array([c], pa.binary()) for c in whole), pa.array([np.array(flat).astype(form).tobytes()], pa.binary()), pa.array([reach], kind)],
+                ["block", "w", "ids", "ms", "vs", "reach"],
+            )
+
+        form = self.form(filed)
+        kind = filed.schema["v"].dataType.simpleString()
+        rows = filed.withColumn("h", F.xxhash64("id")).select("id", "v", "m", "w", "cell", "h")
+        rows = rows.mapInArrow(assign, f"id long, v {kind}, m long, w int, block long")
+        return rows.groupBy("block").applyInArrow(packed, "block long, w int, ids binary, ms binary, vs binary, reach array<struct<b: long, asks: binary>>")
 
-    def compare(self, filed: DataFrame) -> DataFrame:
-        """(id, n, root): links counted for a vector in one block, and a vector it is connected with there."""
+    @staticmethod
+    def form(filed: DataFrame) -> str:
+        """How packed components are written."""
+        return "<f4" if filed.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
+
+    def compare(self, blocks: DataFrame, form: str) -> DataFrame:
+        """(id, n, root): links counted for a vector in one pair of blocks, and a vector it is connected with there."""
         cosine = self.cosine
-        asks = filed.select("id", "v", "m", "cell", F.explode("visits").alias("at"))
-        held = filed.groupBy(F.col("cell").alias("at")).agg((F.expr(f"count(1) div {BLOCK}") + 1).alias("blocks"))
-        asked = filed.select(F.explode("visits").alias("at")).groupBy("at").agg((F.expr(f"count(1) div {BLOCK}") + 1).alias("parts"))
-        sizes = self.scratch.save(held.join(asked, "at"), "sizes")  # one row a cell
-        every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
-        some = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-        left = asks.join(sizes, "at").withColumns({"part": some("parts"), "block": every("blocks")})
-        right = filed.withColumnRenamed("cell", "at").join(sizes, "at").withColumns({"block": some("blocks"), "part": every("parts")})
-        left = left.select("at", "block", "part", "id", "v", "m", "cell")
-        right = right.select(*(F.col(c).alias(f"h_{c}") for c in ("at", "block", "part", "id", "v", "m", "visits")))
+        left = blocks.select(F.col("block").alias("a"), "w", "ids", "ms", "vs", F.explode("reach").alias("r"))
+        left = left.select("a", F.col("r.b").alias("b"), "w", "ids", "ms", "vs", F.col("r.asks").alias("asks"))
+        pairs = blocks.select(F.col("block").alias("a"), F.explode("reach.b").alias("b"))
+        right = pairs.join(blocks.select(F.col("block").alias("b"), "ids", "ms", "vs"), "b").select("a", "b", "ids", "ms", "vs")
+
+        def read(table: pa.Table, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids, ms = (np.frombuffer(table[c][0].as_py(), np.int64) for c in ("ids", "ms"))
+            return ids, ms, unit(np.frombuffer(table["vs"][0].as_py(), form).reshape(-1, w), w)
 
         def both(asking: pa.Table, holding: pa.Table) -> pa.Table:
             out: list[list] = [[], [], []]
-            if asking.num_rows and holding.num_rows:
-                asking = asking.sort_by([("cell", "ascending"), ("id", "ascending")])
-                width = len(holding["h_v"][0].as_py())
-                q, s = matrix(asking["v"].combine_chunks(), width), matrix(holding["h_v"].combine_chunks(), width)
-                qi, si = np.array(asking["id"]), np.array(holding["h_id"])
-                qm, sm, qc = np.array(asking["m"]), np.array(holding["h_m"]), np.array(asking["cell"])
-                visits = np.array(holding["h_visits"].combine_chunks().flatten()).reshape(len(si), -1)
-                back = np.zeros(len(si), np.int64)
-                for low in range(0, len(qi), 512):
-                    own = slice(low, low + 512)
-                    near = (q[own] @ s.T >= cosine) & (qi[own][:, None] != si[None, :])
-                    r, c = np.nonzero(near)
-                    if not len(r):
-                        continue
-                    for cell in np.unique(qc[own][r]):
-                        mine = qc[own] == cell
-                        # the other end counts the pair only if it does not itself visit this cell
-                        back += (near[mine] * qm[own][mine][:, None]).sum(axis=0) * ~(visits == cell).any(axis=1)
-                    rows, columns = np.unique(r), np.unique(c)
-                    top, side = qi[own].copy(), si.copy()
-                    while True:
-                        was = top[rows].sum() + side[columns].sum()
-                        np.minimum.at(top, r, side[c])
-                        np.minimum.at(side, c, top[r])
-                        if top[rows].sum() + side[columns].sum() == was:
-                            break
-                    out[0] += [qi[own][rows], si[columns]]
-                    out[1] += [(near * sm[None, :]).sum(axis=1)[rows], np.zeros(len(columns), np.int64)]
-                    out[2] += [top[rows], side[columns]]
-                extra = np.flatnonzero(back)
-                out[0].append(si[extra])
-                out[1].append(back[extra])
-                out[2].append(si[extra])
-            return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["id", "n", "root"])
-
-        keys = ("at", "block", "part")
-        return left.groupBy(*keys).cogroup(right.groupBy(*(f"h_{k}" for k in keys))).applyInArrow(both, "id long, n long, root long")
+            w, same = asking["w"][0].as_py(), asking["a"][0].as_py() == asking["b"][0].as_py()
+            (qi, qm, q), (si, sm, s) = read(asking, w), read(holding, w)
+            asks = np.flatnonzero(np.unpackbits(np.frombuffer(asking["asks"][0].as_py(), np.uint8), count=len(qi)))
+            qi, qm, q = qi[asks], qm[asks], q[asks]
+            back = np.zeros(len(si), np.int64)
+            for low in range(0, len(qi), 512):
+                own = slice(low, low + 512)
+                near = (q[own] @ s.T >= cosine) & (qi[own][:, None] != si[None, :])
+                r, c = np.nonzero(near)
+                if not len(r):
+                    continue
+                if not same:  # in a block's pair with itself each of the two ends asks
+                    back += qm[own] @ near
+                rows, columns = np.unique(r), np.unique(c)
+                top, side = qi[own].copy(), si.copy()
+                while True:
+                    was = top[rows].sum() + side[columns].sum()
+                    np.minimum.at(top, r, side[c])
+                    np.minimum.at(side, c, top[r])
+                    if top[rows].sum() + side[columns].sum() == was:
+                        break
+                out[0] += [qi[own][rows], si[columns]]
+                out[1] += [(near @ sm)[rows], np.zeros(len(columns), np.int64)]
+                out[2] += [top[rows], side[columns]]
+            extra = np.flatnonzero(back)
+            out[0].append(si[extra])
+            out[1].append(back[extra])
+            out[2].append(si[extra])
+            return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in out], ["id", "n", "root"])
+
+        return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(both, "id long, n long, root long")
 
     def run(self) -> DataFrame:
         """One row per vector: id, ``n_links``, ``component_id``, ``kept``."""
@@ -240,9 +257,11 @@ class MultiIndex:
         same = ["one", "two", "w"]
         distinct = keyed.filter("ok").groupBy(*same).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
         distinct = scratch.save(distinct, "distinct")
-        grids = self.fit(distinct, distinct.count())
-        filed = scratch.save(self.file(distinct, grids, self.calibrate(distinct, grids)), "filed")
-        found = scratch.save(self.compare(filed), "found")
+        rows = distinct.count()
+        grids = self.fit(distinct, rows)
+        filed = scratch.save(self.file(distinct, grids), "filed")
+        blocks = scratch.save(self.pack(filed, grids, rows), "blocks")
+        found = scratch.save(self.compare(blocks, self.form(filed)), "found")
         grouped = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), scratch, "graph")
         counts = found.groupBy("id").agg(F.sum("n").alias("n"))
         reps = distinct.select("id", "m", *same).join(counts, "id", "left").join(grouped, "id", "left")

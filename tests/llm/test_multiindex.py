@@ -61,3 +61,28 @@ def test_multi_sequence_order():
         total = (one[i][:, None] + two[i][None, :]).ravel()
         assert grid.visits(x, 9)[i].tolist() == np.argsort(total, kind="stable")[:9].tolist()
         assert [grid.place(one[i], two[i], c) for c in grid.visits(x, 9)[i].tolist()] == list(range(9))
+
+
+def test_few_links_in_a_fine_grid_are_all_found(spark, monkeypatch):
+    """One vector in 50 has a partner just beyond the bound; the nearest eight cells miss some."""
+    monkeypatch.setattr(multiindex, "FIT_ROWS", 512)  # as in a large table, codes are fitted on a part
+    monkeypatch.setattr(multiindex, "CELL_ROWS", 0.4)
+    rng = np.random.default_rng(3)
+    x = unit(rng.normal(size=(6000, 64)), 64)
+    away = rng.normal(size=(60, 64))
+    away = unit(away - (away * x[:60]).sum(1, keepdims=True) * x[:60], 64)
+    x[-60:] = 0.951 * x[:60] + np.sqrt(1 - 0.951**2) * away
+    x = x.astype("f4").astype(float)
+    near = unit(x, 64) @ unit(x, 64).T >= 0.95
+    np.fill_diagonal(near, False)
+    got = result(spark, list(enumerate(x.tolist())))
+    assert near.sum() >= 120 and [got[i][0] for i in range(6000)] == near.sum(axis=1).tolist()
+
+
+def test_bound_of_the_half_distances():
+    rng = np.random.default_rng(4)
+    x = unit(rng.normal(size=(400, 10)), 10)
+    grid = Grid(x, 8)
+    one, two = grid.least(x)
+    a, b = np.divmod(grid.cells(x), grid.shape[1])
+    assert (one[:, a] + two[:, b] <= 2 - 2 * x @ x.T + 1e-9).all() and (one[:, a] + two[:, b]).max() > 0.1

@@ -49,15 +49,14 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text asked by its five longest words, equals by name."""
-    words = F.array_sort(F.transform(F.array_distinct(X.query_terms(F.col("text"))), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    asked = F.array_join(F.slice(words, 1, 5)["t"], " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("notebook_id"), asked.alias("query"))
+    """Each benchmark text, asked whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("notebook_id"), F.col("text").alias("query"))
 
 
 def keyword_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text asked by its longest word."""
-    return questions(spark, sf_dir).withColumn("query", F.split_part("query", F.lit(" "), F.lit(1)))
+    """Each benchmark text's longest word, equals by name: a term to exclude, or a second phrasing."""
+    words = F.array_sort(F.transform(F.array_distinct(X.query_terms(F.col("query"))), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return questions(spark, sf_dir).withColumn("query", F.coalesce(F.get(words, F.lit(0))["t"], F.lit("")))
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +109,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_KEYWORD_PHRASES}{_BM25} SELECT query_id, chunk_id, rank, round(bm25, 6) AS bm25 FROM ranked WHERE rank <= 8")
 def bm25_postings(spark, sf_dir):
-    found = lexical.bm25_top(chunks_of(spark, sf_dir), keyword_questions(spark, sf_dir), scan=0)
+    found = lexical.bm25_top(chunks_of(spark, sf_dir), questions(spark, sf_dir), scan=0)
     return found.select("query_id", "chunk_id", F.col("rank").cast("long"), rounded("bm25"))
 
 
@@ -133,7 +132,7 @@ def bm25_scoped(spark, sf_dir):
 SELECT query_id, doc_id AS chunk_id, CAST(len(string_split(lower(text), lower(query))) - 1 AS DOUBLE) AS score
 FROM documents JOIN asked ON contains(lower(text), lower(query)) WHERE length(query) >= 2""")
 def like_fallback(spark, sf_dir):
-    found = lexical.substring_scores(chunks_of(spark, sf_dir), keyword_questions(spark, sf_dir), None)
+    found = lexical.substring_scores(chunks_of(spark, sf_dir), questions(spark, sf_dir), None)
     return found.select("query_id", "chunk_id", F.col("bm25").alias("score"))
 
 

@@ -1,5 +1,7 @@
 """Lexical, vector and hybrid retrieval on literal sources, and BM25 against an FTS5 index."""
 
+import math
+import re
 import sqlite3
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.operators import evaluate, fusion, lexical, retrieve, vector
+from marginalia.plans import queries
 
 CHUNKS = [
     (0, 1, 1, "", "書庫は知の書斎である。引用付きで文書と対話する。", [1.0, 0.0]),
@@ -99,3 +102,32 @@ def test_convex(spark):
     v = spark.createDataFrame([(0, 2, 0.9), (0, 3, 0.1)], "query_id int, chunk_id long, vec double")
     got = {(r["query_id"], r["chunk_id"]): r["score"] for r in fusion.convex(b, v, F.lit(0.5)).collect()}
     assert got == {(0, 1): 0.5, (0, 2): 0.5, (0, 3): 0.0, (1, 1): 1.0}
+
+
+ASKED = {0: "alpha bravo charlie delta echoes foxtrot fox owl", 1: "hotel india juliet kilogram limanda mike is"}
+TEXTS = ["fox fox owl", "bravo charlie", "alpha delta echoes foxtrot", "mike mike", "is it so", "hotel india juliet", "nothing", "an owl", "kilogram limanda", "none", "zebra"]
+
+
+def test_benchmark_texts_are_asked_whole(spark, tmp_path):
+    """Against brute force: words beyond the five longest count, and short ones bring in the substring scan."""
+    where = f"file://{tmp_path}"
+    spark.createDataFrame(list(ASKED.items()), "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, source string").write.parquet(f"{where}/documents.parquet")
+    mean = sum(max(len(t) - 2, 0) for t in TEXTS) / len(TEXTS)
+    bm25, counts = {}, {}
+    for q, text in ASKED.items():
+        for w in set(re.findall("[a-z]+", text)):
+            df = sum(w in t for t in TEXTS)
+            for i, t in enumerate(TEXTS):
+                if n := t.count(w):
+                    counts[q, i] = counts.get((q, i), 0) + n
+                    if len(w) > 2:
+                        idf = max(math.log((len(TEXTS) - df + 0.5) / (df + 0.5)), 1e-6)
+                        bm25[q, i] = bm25.get((q, i), 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * max(len(t) - 2, 0) / mean))
+    for name in ("bm25_topk", "bm25_postings", "bm25_scoped"):
+        got = {(r["query_id"], r["chunk_id"]): r["bm25"] for r in queries.QUERIES[name](spark, where).collect()}
+        want = {k for q in ASKED for k in sorted((x for x in bm25 if x[0] == q), key=lambda x: (-round(bm25[x], 10), x))[: 3 if name == "bm25_scoped" else 8]}
+        assert got.keys() == want and got == pytest.approx({k: bm25[k] for k in want}, abs=1e-6)
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in queries.QUERIES["like_fallback"](spark, where).collect()} == counts
+    found = {(r["query_id"], r["chunk_id"]) for r in queries.QUERIES["lexical_search"](spark, where).collect()}
+    assert (0, 0) in found and (1, 3) in found and (1, 4) in found  # document 4 holds the two-letter term alone

@@ -189,8 +189,7 @@ def kana_alt(spark, sf_dir):
 
 @query("""SELECT doc_id, CASE WHEN length(text) < 2 THEN 0 ELSE len(list_distinct(list_transform(range(1, least(length(text), 600)), lambda i: substr(lower(left(text, 600)), i, 2)))) END AS n_bigrams FROM documents""")
 def char_bigrams(spark, sf_dir):
-    low = F.lower(F.substring("text", 1, fusion.COMPARED_CHARS))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.bigram_set(low)).cast("long").alias("n_bigrams"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.bigram_set(F.lower("text"))).cast("long").alias("n_bigrams"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.functions import tokens as K
+from marginalia.plans import queries
 
 
 def each(spark, values, column):
@@ -91,3 +92,10 @@ def test_tail_and_truncate(seed):
             want = next((text[:i] for i in range(len(text), -1, -1) if K.estimate(text[:i]) <= limit), "") if limit else ""
             assert K.truncate(text, limit) == want
             assert K.tail(text, limit) == (scanned_tail(text, limit) if limit else "")
+
+
+def test_bigrams_of_whole_texts(spark, tmp_path):
+    texts = ["ab" * 300 + "Cdefgh", "a", "", "Aa aA", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_bigrams"] for r in queries.QUERIES["char_bigrams"](spark, f"file://{tmp_path}").collect()}
+    assert got == {i: len({(t or "").lower()[k : k + 2] for k in range(len(t or "") - 1)}) for i, t in enumerate(texts)}

@@ -1,7 +1,7 @@
 """Cost-balanced packing of tokenised documents into sequences.
 
 A piece of n tokens costs ``n + quadratic * n**2``. Within a block of documents, pieces go in
-descending order to the sequence of least cost that still has room; what does not fit is cut and goes
+descending order to the sequence of least cost that still has room; what fits in none is cut and goes
 back in the queue, so all sequences of a block are filled and only what is left over moves on to the
 next block. Blocks are bounded in tokens, and nothing is shuffled: each task packs the rows it scans.
 The last left-over tokens of a task fill sequences of descending powers of two, which need no padding.
@@ -127,26 +127,49 @@ def fill(lengths: list[int], sequences: int, capacity: int, quadratic: float) ->
     """
     queue = [(-n, i, 0) for i, n in enumerate(lengths) if n]
     heapq.heapify(queue)
-    open_ = [(0.0, s) for s in range(sequences)]
+    # a heap of (cost, sequence) for each room, and a tree over rooms that holds the least of each subtree
+    size, none = 1 << capacity.bit_length(), (float("inf"), -1)
+    by_room: dict[int, list[tuple[float, int]]] = {capacity: [(0.0, s) for s in range(sequences)]}
+    least = [none] * (2 * size)
+
+    def renew(free: int) -> None:
+        node, value = free + size, by_room[free][0] if by_room[free] else none
+        while least[node] != value:
+            least[node] = value
+            node >>= 1
+            if not node:
+                break
+            value = min(least[2 * node], least[2 * node + 1])
+
+    def cheapest(need: int) -> tuple[float, int]:
+        """Of the sequences with so much room at least."""
+        node = need + size
+        best = least[node]
+        while node > 1:
+            if not node & 1:
+                best = min(best, least[node + 1])
+            node >>= 1
+        return best
+
+    renew(capacity)
     room = [capacity] * sequences
     placed = []
-    while queue and open_:
+    while queue and least[1] != none:
         n, item, start = heapq.heappop(queue)
         n = -n
-        tried = [heapq.heappop(open_)]
-        while room[tried[-1][1]] < n <= capacity and open_ and len(tried) < 8:
-            tried.append(heapq.heappop(open_))
-        best = len(tried) - 1 if room[tried[-1][1]] >= n else 0
-        cost, s = tried.pop(best)
-        for other in tried:
-            heapq.heappush(open_, other)
-        put = min(n, room[s])
-        placed.append((item, start, put, s, capacity - room[s]))
+        found = cheapest(n) if n <= capacity else none
+        cost, s = least[1] if found == none else found
+        free = room[s]
+        heapq.heappop(by_room[free])
+        renew(free)
+        put = min(n, free)
+        placed.append((item, start, put, s, capacity - free))
         room[s] -= put
         if put < n:
             heapq.heappush(queue, (put - n, item, start + put))
         if room[s]:
-            heapq.heappush(open_, (cost + put + quadratic * put * put, s))
+            heapq.heappush(by_room.setdefault(room[s], []), (cost + put + quadratic * put * put, s))
+            renew(room[s])
     return placed, sorted((item, start, -n) for n, item, start in queue)
 
 

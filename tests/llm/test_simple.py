@@ -135,6 +135,30 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, queries.tokenizer_path(), 2).collect() == []
 
 
+def test_piece_is_whole_if_any_sequence_has_room():
+    """Eight sequences of two pieces of 40 cost less than the one of 60, which alone has room for 25."""
+    placed, rest = packing.fill([60] + [40] * 16 + [25], 9, 100, 1.0)
+    assert (17, 0, 25, 0, 60) in placed and rest == [] and len(placed) == 18
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fill_is_that_of_a_plain_search(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([0, 1, rng.randrange(40), rng.randrange(150)]) for _ in range(120)]
+    queue, room, cost, want = [(-n, i, 0) for i, n in enumerate(lengths) if n], [64] * 40, [0.0] * 40, []
+    while queue and any(room):
+        n, item, start = min(queue)
+        queue.remove((n, item, start))
+        fits = [s for s in range(40) if room[s] >= -n] or [s for s in range(40) if room[s]]
+        s = min(fits, key=lambda s: (cost[s], s))
+        put = min(-n, room[s])
+        want.append((item, start, put, s, 64 - room[s]))
+        room[s], cost[s] = room[s] - put, cost[s] + put + 0.25 * put * put
+        if put < -n:
+            queue.append((n + put, item, start + put))
+    assert packing.fill(lengths, 40, 64, 0.25) == (want, sorted((i, start, -n) for n, i, start in queue))
+
+
 def test_language(spark, empty):
     rows = [(i, t, l, s, n) for i, t, l, s, n in documents(2, 600)]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -36,7 +36,7 @@ def _letters() -> np.ndarray:
     global _table
     if _table is None:
         table = np.full(0x110000, 32, np.uint32)
-        for c in range(0x30000):
+        for c in range(len(table)):
             x = chr(c)
             if x.isalpha():
                 low = x.lower()

@@ -159,6 +159,12 @@ def test_fill_is_that_of_a_plain_search(seed):
     assert packing.fill(lengths, 40, 64, 0.25) == (want, sorted((i, start, -n) for n, i, start in queue))
 
 
+def test_letters_of_all_planes():
+    assert [chr(c) for c in range(0x110000) if chr(c).isalpha() != (language._letters()[c] != 32)] == []
+    values, _ = language.grams("\U00030000\U00031350")
+    assert len(values)
+
+
 def test_language(spark, empty):
     rows = [(i, t, l, s, n) for i, t, l, s, n in documents(2, 600)]
     df = spark.createDataFrame(rows, SCHEMA)

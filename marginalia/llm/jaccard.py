@@ -1,37 +1,41 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Equal shingle sets are joined first and stand as one. Of each distinct set, only the lists that can
-hold a partner are merged: its shingles are ordered by rarity (within the lowest hashes, which two
-linked sets must also share), and the rarest ones up to the prefix bound are its *short lists*. Short
-lists are merged by shuffling them on the shingle. What they bring together is counted exactly by
-``divide_skip``: short lists are merged, long ones are probed by binary search, and what reaches the
-required overlap stays.
-
-A list is never expanded into all its pairs. In rounds, each list tests one centre (first the set with
-the least share of shingles of its own, then others by hash) against its sets of other components; those
-linked to it join its component, and by the triangle inequality of the Jaccard distance a set further
-than twice the limit from the first centre cannot link to one within the limit. After the rounds, only
-pairs still in different components are tested. Pairs whose parity maps differ in more bits than linked
-sets may differ in shingles are never looked at; that test loses nothing.
+Every shingle has an inverted list: the sets that hold it. Lists are ordered from short to long by counts
+of all shingles of all documents (a table of fixed size, counted in the first scan). Two sets that reach
+the required overlap share one of the shortest lists of each, so only those are merged across the cluster:
+one shuffle on the shingle. What a list brings together is then settled by ``divide_skip``: a heap merges
+the short lists of the sets that meet, long ones are probed by binary search, and the sets that reach the
+required overlap stay.
+
+Equal shingle sets stand as one. Lists of very frequent shingles are cut into pieces before the shuffle.
+A list is never expanded into all its pairs: in rounds, each list tests one centre (first the set that
+shares the largest part of its short lists, then others by hash) against its sets of other components;
+those linked to it join its component, and by the triangle inequality of the Jaccard distance a set
+further than twice the limit from the first centre cannot link to one within the limit. After the rounds,
+only pairs still in different components are tested. Pairs whose parity maps differ in more bits than
+linked sets may differ in shingles are never looked at; that test loses nothing.
 
 Defined cases: a null or empty text has the empty set and links with nothing; fewer words than a shingle
-make one shingle; texts of any length are read whole; repeated rows are equal sets; an empty table gives
-an empty result; other columns are not read. Ids must be unique.
+make one shingle; texts of any length are read whole; repeated rows are equal sets and get one row each;
+rows that share an id are each judged by their own text; equal sizes and shares go by id; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytewise
 from .graph import components
-from .shared import Scratch
+from .shared import Scratch, fits
 
 #: Rounds of centres at most; they stop sooner once few pairs are left for the last step.
 CENTRE_ROUNDS = 6
@@ -40,10 +44,17 @@ FEW_PAIRS = 100_000
 SLOW_ROUND = 0.7
 #: Bits of a set's parity map: bit b tells whether an odd number of its shingles hash to b.
 PARITY_BITS = 1024
-#: Routes up to this many rows are sent to every task; beyond it, documents are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Shingles that one group of a centre may hold; larger groups are split and the centre is repeated.
 GROUP_SHINGLES = 1 << 19
+#: The table of counts: buckets by the shingle's top bits, sent to the driver and back in blocks.
+COUNT_BITS, BLOCK_BITS = 22, 16
+#: Tasks that add up the counts of all others, some blocks each.
+COUNT_TASKS = 8
+#: Rows of a list, besides four times the mean of a bucket, beyond which it is cut into pieces.
+LIST_ROWS = 256
+#: Sets that a task remembers, so that it lists equal ones once.
+SEEN = 1 << 20
+_PIECE = 0x9E3779B97F4B  # times a piece's number, below 2**63, flips bits of the shingle
 
 
 def shingle_sets(texts: bytewise.Texts, k: int, lower: bool) -> list[np.ndarray]:
@@ -70,6 +81,19 @@ def shingle_sets(texts: bytewise.Texts, k: int, lower: bool) -> list[np.ndarray]
     return out
 
 
+def signature(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that tell sets apart."""
+    return tuple(int(bytewise.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in (shingles, ~shingles))
+
+
+def count_blocks(names: list[str], blocks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows (.., block, counts) of the blocks named, other columns null."""
+    raw = [counts[b << BLOCK_BITS :][: 1 << BLOCK_BITS].tobytes() for b in blocks.tolist()]
+    kinds = {"bits": pa.binary()}
+    empty = [pa.nulls(len(blocks), kinds.get(name, pa.int64())) for name in names[:-2]]
+    return pa.RecordBatch.from_arrays([*empty, pa.array(blocks, pa.int32()), pa.array(raw, pa.binary())], names)
+
+
 def parity_map(shingles: np.ndarray) -> np.ndarray:
     counts = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
     return np.packbits((counts & 1).astype(bool)).view(np.int64)
@@ -78,35 +102,41 @@ def parity_map(shingles: np.ndarray) -> np.ndarray:
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], required: np.ndarray) -> np.ndarray:
     """Overlap of ``query`` with each set that reaches its required overlap, else -1.
 
-    The sets' postings form one inverted list per query shingle. The longest lists are set aside, the
-    others merged; a set is a candidate if the lists set aside could still lift it to its bound, and is
-    then looked up in each of them by binary search.
+    The sets' postings form one inverted list per query shingle. The longest lists are set aside and a
+    heap merges the others; a set is a candidate if the lists set aside could still lift it to its bound,
+    and is then looked up in each of them by binary search.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     member = np.repeat(np.arange(len(sets)), sizes)
     tokens = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     at = np.minimum(np.searchsorted(query, tokens), len(query) - 1)
     held = query[at] == tokens
     at, member = at[held], member[held]
-    lengths = np.bincount(at, minlength=len(query))
+    order = np.argsort(at, kind="stable")  # members ascend in each list
+    ends = np.searchsorted(at[order], np.arange(len(query) + 1))
+    lengths = np.diff(ends)
     least = max(1, int(required.min()))
     # the published rule for how many lists to probe; its factor 0.01 is the usual setting
     n_long = min(least - 1, int(least / (0.01 * np.log2(max(2, lengths.max())) + 1)))
-    is_long = np.zeros(len(query), bool)
-    if n_long:
-        is_long[np.argpartition(lengths, len(query) - n_long)[len(query) - n_long :]] = True
-    counts = np.bincount(member[~is_long[at]], minlength=len(sets))
-    candidates = np.flatnonzero(counts >= np.maximum(required - n_long, 1))
-    if n_long and len(candidates):
-        probed = is_long[at]
-        keys = np.sort(at[probed] * np.int64(len(sets)) + member[probed])
-        if len(keys):
-            asked = np.flatnonzero(is_long)[:, None] * np.int64(len(sets)) + candidates[None, :]
-            place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            counts[candidates] += (keys[place] == asked).sum(axis=0)
+    by_length = np.argsort(lengths, kind="stable")
+    lists = member[order]
+    short = [lists[ends[k] : ends[k + 1]].tolist() for k in by_length[: len(query) - n_long] if lengths[k]]
+    bound = np.maximum(required - n_long, 1).tolist()
     out = np.full(len(sets), -1, np.int64)
-    reached = candidates[counts[candidates] >= required[candidates]]
-    out[reached] = counts[reached]
+    long = [lists[ends[k] : ends[k + 1]] for k in by_length[len(query) - n_long :] if lengths[k]]
+    candidates, counts = [], []
+    for k, same in groupby(merge(*short)):
+        n = sum(1 for _ in same)
+        if n >= bound[k]:
+            candidates.append(k)
+            counts.append(n)
+    if candidates:
+        asked, total = np.array(candidates), np.array(counts)
+        for one in long:
+            place = np.minimum(np.searchsorted(one, asked), len(one) - 1)
+            total += one[place] == asked
+        reached = total >= required[asked]
+        out[asked[reached]] = total[reached]
     return out
 
 
@@ -120,24 +150,29 @@ class Bounds:
         """Least overlap of two sets with ``both`` shingles together: p (x + y) / (100 + p), rounded up."""
         return -(-percent * both // (100 + percent))
 
-    def missing(self, n: int) -> int:
-        """Most shingles of a set of n that a partner may lack."""
-        return n - -(-self.percent * n // 100)
+    def prefix(self, n: int) -> int:
+        """Shortest lists of a set of n of which any partner shares one."""
+        return n - -(-self.percent * n // 100) + 1
 
-    def spare(self, n: int) -> int:
-        """Of the lowest hashes kept for a set of n, how many it surely shares with a partner of its size."""
-        return min(n - self.missing(n), n // 10 + 2)
 
-    def differing(self, both: Column, percent: int) -> Column:
-        """Most shingles that only one of two sets holds, with ``both`` together."""
-        return both - 2 * F.ceil(percent * both / (100 + percent))
+class ShingleCounts:
+    """How often the shingles of each bucket were counted, as logarithms: the order of the lists."""
 
-    def kept(self, n: int) -> int:
-        return self.missing(n) + self.spare(n)
+    def __init__(self, counts: np.ndarray):
+        self.levels = np.round(np.log2(1.0 + counts) * 1000).astype(np.uint16)
+        self.most = 4 * float(counts.mean()) + LIST_ROWS
 
-    def prefix(self, n: int) -> int:
-        """Short lists of a set of n: one of them is shared with any partner."""
-        return self.kept(n) - self.spare(-(-self.percent * n // 100)) + 1
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        return self.levels[(shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+
+    def shortest(self, shingles: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` shingles that come first by count and hash; ties at the end are all in."""
+        key = (self.of(shingles).astype(np.uint64) << np.uint64(48)) | (shingles >> np.uint64(16))
+        return shingles if n >= len(key) else shingles[key <= np.partition(key, n - 1)[n - 1]]
+
+    def pieces(self, shingles: np.ndarray) -> np.ndarray:
+        """Pieces that each shingle's list is cut into."""
+        return np.minimum(np.ceil((np.exp2(self.of(shingles) / 1000.0) - 1) / self.most), 32767).astype(np.int64)
 
 
 class JaccardJoin:
@@ -149,43 +184,98 @@ class JaccardJoin:
         self.scratch = Scratch(docs.sparkSession, "jaccard")
 
     def summaries(self) -> DataFrame:
-        """Per document: size and signature of its set, its lowest hashes and how many are short lists."""
-        k, lower, kept, prefix = self.k, self.lower, self.bounds.kept, self.bounds.prefix
+        """Per document: size, signature and parity map of its set; then the task's shingle counts, in blocks."""
+        k, lower = self.k, self.lower
+        names = ["id", "n", "one", "two", "bits", "block", "counts"]
 
         def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(1 << COUNT_BITS, np.uint32)
             for batch in batches:
                 for row, texts in bytewise.slices(batch.column(1)):
                     sets = shingle_sets(texts, k, lower)
-                    sizes = [len(s) for s in sets]
-                    one = [int(bytewise.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                    two = [int(bytewise.mix(~s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                    low = [s[: kept(len(s))].view(np.int64) for s in sets]
-                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in low])))
-                    maps = np.concatenate([parity_map(s) for s in sets])
-                    ends = np.arange(len(sets) + 1) * (PARITY_BITS // 64)
+                    if sets:
+                        np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+                    one, two = zip(*map(signature, sets))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).slice(row, len(texts)), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                            pa.array([prefix(n) if n else 0 for n in sizes], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(low) if low else [], pa.int64())),
-                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(maps)),
+                            batch.column(0).slice(row, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                            pa.array([parity_map(s).tobytes() for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
                         ],
-                        ["id", "n", "one", "two", "prefix", "low", "bits"],
+                        names,
                     )
+            blocks = np.flatnonzero(counts.reshape(-1, 1 << BLOCK_BITS).any(axis=1))
+            if len(blocks):
+                yield count_blocks(names, blocks, counts)
 
-        return self.docs.mapInArrow(summarise, "id long, n long, one long, two long, prefix long, low array<long>, bits array<long>")
+        return self.docs.mapInArrow(summarise, "id long, n long, one long, two long, bits binary, block int, counts binary")
 
-    def short_lists(self, distinct: DataFrame) -> DataFrame:
-        """(token, id, n, own): the short lists of every distinct set that other sets are in too."""
-        postings = distinct.select("id", F.explode("low").alias("token"))
-        common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        shared = postings.join(common, "token")
-        by_set = Window.partitionBy("id")
-        shared = shared.withColumns({"_rank": F.row_number().over(by_set.orderBy("df", "token")), "_shared": F.count(F.lit(1)).over(by_set)})
-        sizes = distinct.select("id", "n", "prefix", F.size("low").alias("kept"))
-        lists = shared.join(sizes, "id").withColumn("own", F.col("kept") - F.col("_shared"))
-        # shingles of its own come first in the order of rarity and meet nothing
-        return lists.filter("_rank <= prefix - own").select("token", "id", "n", (F.col("own") / F.col("kept")).alias("own"))
+    def counts(self, summary: DataFrame) -> ShingleCounts:
+        """The counts of all tasks, summed in steps; the driver receives the table's fixed size."""
+        names = ["block", "counts"]
+
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << COUNT_BITS, np.uint64)
+            by_block = total.reshape(-1, 1 << BLOCK_BITS)
+            for batch in batches:
+                for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    by_block[block] += np.frombuffer(raw, "<u8") if len(raw) > 4 << BLOCK_BITS else np.frombuffer(raw, "<u4")
+            blocks = np.flatnonzero(by_block.any(axis=1))
+            if len(blocks):
+                yield count_blocks(names, blocks, total)
+
+        made = summary.filter("block IS NOT NULL").select(*names)
+        made = made.mapInArrow(scanned, "block int, counts binary")
+        # tasks of the last step hold some blocks each, of all partial sums
+        made = made.repartition(COUNT_TASKS, "block").mapInArrow(scanned, "block int, counts binary")
+        total = np.zeros(1 << COUNT_BITS, np.uint64)
+        for row in made.toArrow().to_pylist():
+            total[row["block"] << BLOCK_BITS :][: 1 << BLOCK_BITS] = np.frombuffer(row["counts"], "<u8")
+        return ShingleCounts(total)
+
+    def short_lists(self, order: ShingleCounts) -> DataFrame:
+        """(key, one, piece, pieces): the short lists of every set that other sets are in too; key tells shingle and piece."""
+        k, lower, prefix = self.k, self.lower, self.bounds.prefix
+        sent = self.docs.sparkSession.sparkContext.broadcast(order)  # two bytes a bucket
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order, seen = sent.value, set()
+            for batch in batches:
+                for _, texts in bytewise.slices(batch.column(0)):
+                    lists, ones = [], []
+                    for s in shingle_sets(texts, k, lower):
+                        if len(s) and (own := signature(s)) not in seen:
+                            if len(seen) < SEEN:
+                                seen.add(own)
+                            lists.append(order.shortest(s, prefix(len(s))))
+                            ones.append(own[0])
+                    if not lists:
+                        continue
+                    one = np.repeat(np.array(ones, np.int64), [len(x) for x in lists])
+                    token = np.concatenate(lists)
+                    pieces = order.pieces(token)
+                    piece = np.where(pieces > 1, one % np.maximum(pieces, 1), 0)
+                    key = token.view(np.int64) ^ (piece * _PIECE)
+                    cut = np.where(pieces > 1, (pieces << 16) + piece, 0).astype(np.int32)
+                    for at in range(0, len(key), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (key, one, cut)], ["key", "one", "cut"])
+
+        posted = self.docs.select("text").mapInArrow(post, "key long, one long, cut int")
+        by_key = Window.partitionBy("key")
+        met = posted.withColumns({"_a": F.min("one").over(by_key), "_b": F.max("one").over(by_key)}).filter("_a <> _b OR cut <> 0")
+        return met.select("key", "one", "cut").distinct()
+
+    def filed(self, distinct: DataFrame, order: ShingleCounts) -> DataFrame:
+        """(token, piece, pieces, id, n, own): short lists by document; own tells how little of a set's lists is shared."""
+        scratch = self.scratch
+        met = scratch.save(self.short_lists(order), "met")
+        met = met.withColumns({"piece": F.expr("cut & 65535"), "pieces": F.greatest(F.lit(1), F.expr("cut >> 16"))})
+        met = met.withColumn("token", F.col("key").bitwiseXOR(F.col("piece").cast("long") * F.lit(_PIECE))).select("token", "piece", "pieces", "one")
+        shares = met.groupBy("one").agg(F.count(F.lit(1)).alias("_m"))
+        sets = scratch.save(distinct.select("one", "id", "n").join(shares, "one"), "sets")
+        wanted = -(F.col("_m") / (F.col("n") + 1))
+        sets = sets.select("one", "id", "n", wanted.alias("own"))
+        lists = met.join(F.broadcast(sets) if fits(sets) else sets, "one").drop("one")
+        return lists
 
     def measure(self, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """(c, id, linked) for the pairs (c, id, n) whose similarity reaches ``2 p - 100`` percent; the pairs.
@@ -201,19 +291,16 @@ class JaccardJoin:
         centres = parts.select(F.col("c").alias("id"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
         centres = centres.select("id", F.struct(F.col("id").alias("c"), "part", F.lit(True).alias("centre")).alias("r"))
         routes = members.unionByName(centres).groupBy("id").agg(F.collect_list("r").alias("routes"))
-        routes = self.scratch.save(routes, f"{name}-routes")
-        few = routes.agg(F.sum(F.size("routes")).alias("n")).first()["n"] or 0
-        routed = self.docs.join(F.broadcast(routes) if few <= BROADCAST_ROWS else routes, "id")
+        routes = self.scratch.save(routes.join(self.signatures, "id"), f"{name}-routes")
+        routed = self.docs.join(F.broadcast(routes) if fits(routes) else routes, "id")
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row, texts in bytewise.slices(batch.column(1), 1 << 19):
                     sets = shingle_sets(texts, k, lower)
-                    rows = [
-                        (r["c"], r["part"], r["centre"], key, s.tobytes())
-                        for s, key, to in zip(sets, batch.column(0).slice(row, len(sets)).to_pylist(), batch.column(2).slice(row, len(sets)).to_pylist())
-                        for r in to
-                    ]
+                    columns = [batch.column(c).slice(row, len(sets)).to_pylist() for c in (0, 2, 3)]
+                    # a row of the same id with another text is no such set
+                    rows = [(r["c"], r["part"], r["centre"], key, s.tobytes()) for s, key, to, one in zip(sets, *columns) if len(s) and signature(s)[0] == one for r in to]
                     for at in range(0, len(rows), 256):
                         columns = list(zip(*rows[at : at + 256]))
                         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
@@ -231,37 +318,59 @@ class JaccardJoin:
             linked = found[hit] >= overlap(both[hit], percent)
             return pa.table({"c": pa.array(np.repeat(np.array(group["c"])[:1], len(ids))), "id": pa.array(ids), "linked": pa.array(linked)})
 
-        sent = routed.select("id", "text", "routes").mapInArrow(send, "c long, part long, centre boolean, id long, set binary")
+        sent = routed.select("id", "text", "routes", "one").mapInArrow(send, "c long, part long, centre boolean, id long, set binary")
         found = self.scratch.save(sent.groupBy("c", "part").applyInArrow(count, "c long, id long, linked boolean"), name)
         self.scratch.drop(f"{name}-routes")
         return found, pairs
 
-    def possible(self, percent: int) -> Column:
-        """Whether sizes and parity maps of (id, n, bits) and (c, cn, cbits) allow a similarity of ``percent``."""
-        sizes = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
-        differ = F.aggregate(F.zip_with("bits", "cbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, v: a + v)
-        return sizes & (differ <= self.bounds.differing(F.col("n") + F.col("cn"), percent))
+    def possible(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """Of pairs (c, cn, id, n), those whose sizes and parity maps allow a similarity of ``percent``."""
+        pairs = pairs.filter(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent).distinct()
+        bounds = self.bounds
+
+        def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = np.array(batch.column(2)) + np.array(batch.column(3))
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for c in (4, 5))
+                differ = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+                yield batch.filter(pa.array(differ <= both - 2 * bounds.overlap(both, percent))).select(["c", "id", "n"])
+
+        maps = self.maps
+        small = fits(maps)
+        ends = [maps.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits")) for name in ("c", "id")]
+        for name, end in zip(("c", "id"), ends):
+            pairs = pairs.join(F.broadcast(end) if small else end, name)
+        return pairs.select("c", "id", "cn", "n", "c_bits", "id_bits").mapInArrow(unlike, "c long, id long, n long")
+
+    @staticmethod
+    def against(lists: DataFrame, centre: DataFrame) -> DataFrame:
+        """Lists with their centre; a list in pieces meets it in each, so no piece is one key with another."""
+        spread = centre.withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)"))).drop("pieces")
+        return lists.join(spread, ["token", "piece"])
 
     def run(self) -> DataFrame:
         """One row per document: id, ``n_shingles``, ``component_id`` (the least id linked to it)."""
         scratch = self.scratch
-        summary = scratch.save(self.summaries(), "summary")
+        scanned = scratch.save(self.summaries(), "summary")
+        order = self.counts(scanned)
+        summary = scanned.filter("block IS NULL").select("id", "n", "one", "two")
         same = ["n", "one", "two"]
-        distinct = summary.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.first("bits").alias("bits"))
+        distinct = scanned.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
         distinct = scratch.save(distinct, "distinct")
-        lists = scratch.save(self.short_lists(distinct), "lists")
-        longer = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("token")
-        maps = distinct.select("id", "bits")
-        lists = scratch.save(lists.join(longer, "token").join(maps, "id"), "merged")
+        lists = scratch.save(self.filed(distinct, order), "lists")
+        met = lists.select("id").distinct()
+        self.maps = scratch.save(distinct.select("id", "one", "bits").join(met, "id", "left_semi"), "maps")
+        self.signatures = self.maps.select("id", "one")
         lists = lists.withColumns({"label": F.col("id"), "used": F.lit(0), "state": F.lit(1)})
         near_percent = max(1, 2 * self.percent - 100)
         links, tested, before = None, None, float("inf")
         for k in range(CENTRE_ROUNDS):
             first = F.col("own") if k == 0 else F.xxhash64("token", "id")
-            order = F.struct(F.col("used"), first.alias("first"), F.col("id"), F.col("n"), F.col("label"), F.col("bits"))
-            centre = lists.groupBy("token").agg(F.min(order).alias("x"), F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b")
-            centre = centre.select("token", F.col("x.id").alias("c"), F.col("x.n").alias("cn"), F.col("x.label").alias("cl"), F.col("x.bits").alias("cbits"))
-            pairs = lists.join(centre, "token").filter((F.col("label") != F.col("cl")) & self.possible(near_percent)).select("c", "id", "n").distinct()
+            choice = F.struct(F.col("used"), first.alias("first"), F.col("id"), F.col("n"), F.col("label"))
+            centre = lists.groupBy("token").agg(F.min(choice).alias("x"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.max("pieces").alias("pieces")).filter("_a <> _b")
+            centre = scratch.save(centre.select("token", "pieces", F.col("x.id").alias("c"), F.col("x.n").alias("cn"), F.col("x.label").alias("cl")), f"centres-{k}")
+            pairs = self.against(lists, centre).filter(F.col("label") != F.col("cl")).select("c", "cn", "id", "n")
+            pairs = self.possible(pairs, near_percent)
             if tested is not None:
                 pairs = pairs.join(tested, ["c", "id"], "left_anti")
             found, done = self.measure(pairs, f"round-{k}")
@@ -271,31 +380,40 @@ class JaccardJoin:
             new = found.filter("linked").select(F.col("c").alias("u"), F.col("id").alias("v"))
             links = new if links is None else links.unionByName(new)
             grouped = scratch.save(components(links, scratch, f"graph-{k}"), f"labels-{k}")
+            small = fits(grouped)
             if k == 0:
                 # (centre, id): near or linked; what is not here is far from the list's centre
-                lists = lists.join(centre.select("token", "c"), "token", "left").join(found.select("c", "id", "linked"), ["c", "id"], "left")
+                near = found.select("c", "id", "linked")
+                lists = self.against(lists, centre.select("token", "pieces", "c")).join(F.broadcast(near) if fits(near) else near, ["c", "id"], "left")
                 state = F.when((F.col("id") == F.col("c")) | F.col("linked"), 0).when(F.col("linked").isNotNull(), 1).otherwise(2)
-                lists = lists.withColumn("state", F.when(F.col("c").isNull(), 1).otherwise(state)).drop("c", "linked")
+                lists = lists.withColumn("state", state).drop("c", "linked")
+            else:
+                lists = self.against(lists, centre.select("token", "pieces"))
+            lists = lists.join(F.broadcast(grouped) if small else grouped, "id", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
             centres = centre.select(F.col("c").alias("id")).distinct().withColumn("_used", F.lit(1))
-            lists = lists.join(grouped, "id", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
-            lists = lists.join(centres, "id", "left").withColumn("used", F.greatest("used", F.coalesce("_used", F.lit(0)))).drop("_used")
+            lists = lists.join(F.broadcast(centres) if fits(centre) else centres, "id", "left").withColumn("used", F.greatest("used", F.coalesce("_used", F.lit(0)))).drop("_used")
+            lists = scratch.save(lists, f"lists-{k}")
+            scratch.drop(f"lists-{k - 1}" if k else "lists", f"centres-{k}", f"labels-{k - 1}" if k else "met")
             # lists whose sets are all one component are done
-            several = lists.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("token")
-            lists = scratch.save(lists.join(several, "token"), f"lists-{k}")
-            scratch.drop(f"lists-{k - 1}" if k else "lists")
-            by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("token")
-            crossing = by_label.agg((F.pow(F.sum("m"), F.lit(2.0)) - F.sum(F.pow("m", F.lit(2.0)))).alias("x")).agg(F.sum("x").alias("x")).first()["x"] or 0
+            by_label = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"), F.max("pieces").alias("pieces")).groupBy("token")
+            several = by_label.agg((F.pow(F.sum("m"), F.lit(2.0)) - F.sum(F.pow("m", F.lit(2.0)))).alias("x"), F.max("pieces").alias("pieces"), F.count(F.lit(1)).alias("_l")).filter("_l > 1")
+            several = scratch.save(several.drop("_l"), f"several-{k}")
+            crossing = several.agg(F.sum("x").alias("x")).first()["x"] or 0
+            lists = self.against(lists, several.drop("x"))
             if crossing <= 2 * FEW_PAIRS or crossing > SLOW_ROUND * before:
                 break
             before = crossing
-        other = lists.select("token", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("state").alias("cs"), F.col("bits").alias("cbits"))
+        # a list in pieces meets itself piece by piece
+        pieces = F.explode(F.expr("sequence(0, pieces - 1)"))
+        other = lists.select("token", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("state").alias("cs"), pieces.alias("piece"))
         apart = (F.col("label") != F.col("cl")) & (F.col("c") < F.col("id")) & (F.abs(F.col("state") - F.col("cs")) < 2)
-        pairs = lists.join(other, "token").filter(apart & self.possible(self.percent)).select("c", "id", "n").distinct().join(tested, ["c", "id"], "left_anti")
+        pairs = lists.join(other, ["token", "piece"]).filter(apart).select("c", "cn", "id", "n")
+        pairs = self.possible(pairs, self.percent).join(tested, ["c", "id"], "left_anti")
         found, _ = self.measure(pairs, "rest")
         links = links.unionByName(found.filter("linked").select(F.col("c").alias("u"), F.col("id").alias("v")))
-        grouped = components(links, scratch, "graph-rest").withColumnRenamed("id", "rep")
+        grouped = scratch.save(components(links, scratch, "graph-rest").withColumnRenamed("id", "rep"), "grouped")
         # every row's set, by its signature; then the set's component
-        reps = summary.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep")).join(grouped, "rep", "left")
+        reps = distinct.select(*same, F.col("id").alias("rep")).join(F.broadcast(grouped) if fits(grouped) else grouped, "rep", "left")
         reps = reps.select(*same, F.coalesce("component", "rep").alias("component"))
         out = summary.select("id", *same).join(reps, same, "left")
         return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

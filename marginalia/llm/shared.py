@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,10 +46,25 @@ class Scratch:
         writer.bucketBy(shuffle_width(self.spark), column).saveAsTable(table)
         return self.spark.table(table)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A side of a join is sent to every task up to so many bytes; beyond it, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether a saved table is small enough to be broadcast, by its rows and what they hold."""
+    kinds = [f.dataType for f in df.schema.fields]
+    held = [F.octet_length(f.name) for f, k in zip(df.schema.fields, kinds) if isinstance(k, (T.StringType, T.BinaryType))]
+    held += [F.size(f.name) * 32 for f, k in zip(df.schema.fields, kinds) if isinstance(k, T.ArrayType)]
+    row = sum((F.coalesce(h, F.lit(0)) for h in held), F.lit(16 + 8 * len(kinds)))
+    return (df.agg(F.sum(row.cast("long")).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES
 
 
 def word_count(text: Column) -> Column:

@@ -7,7 +7,8 @@ small box and readers can skip shards by several columns at once (``manifest``).
 
 Defined cases: nulls take the lowest step of their dimension and a null text has size 0 + 16; ties on
 the curve go by text hash and id; repeated rows take neighbouring places; an empty table gives an empty
-plan; columns other than the id, the text and the dimensions are not read.
+plan; columns other than the id, the text and the dimensions are not read. A dimension that has an
+output's name is returned as ``dim_`` and its name.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, slice_offsets, sorted_slices
+from .shared import Scratch, fresh, slice_offsets, sorted_slices
 
 ROW_BYTES = 16
 BITS = 5
+OUTPUTS = ("size", "text_crc32", "curve", "shard", "slot")
 
 
 def hilbert_index(steps: np.ndarray, bits: int) -> np.ndarray:
@@ -111,7 +113,7 @@ def plan_shards(
     first = F.expr(f"(shard * _n + {shards - 1}) div {shards}")
     return placed.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
-        *(F.col(n).alias(d) for n, d in zip(names, dimensions) if d != id_col), "curve", "shard", (F.col("_rank") - first).alias("slot"),
+        *(F.col(n).alias(f"dim_{d}" if d in OUTPUTS else d) for n, d in zip(names, dimensions) if d != id_col), "curve", "shard", (F.col("_rank") - first).alias("slot"),
     )
 
 
@@ -123,6 +125,7 @@ def manifest(plan: DataFrame, dimensions: list[str]) -> DataFrame:
 
 def write_shards(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """Write the documents as one directory per shard, in slot order. Ids must be unique."""
-    placed = docs.join(plan.select(id_col, F.col("shard").alias("_shard"), F.col("slot").alias("_slot")), id_col)
-    placed = placed.repartitionByRange(F.col("_shard"), F.col("_slot")).sortWithinPartitions("_shard", "_slot")
-    placed.drop("_slot").write.partitionBy("_shard").parquet(path)
+    shard, slot = fresh(docs.columns, "_shard"), fresh(docs.columns, "_slot")
+    placed = docs.join(plan.select(id_col, F.col("shard").alias(shard), F.col("slot").alias(slot)), id_col)
+    placed = placed.repartitionByRange(F.col(shard), F.col(slot)).sortWithinPartitions(shard, slot)
+    placed.drop(slot).write.partitionBy(shard).parquet(path)

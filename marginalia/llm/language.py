@@ -5,12 +5,13 @@ order of frequency. A document is compared with each profile by the out-of-place
 its own most frequent n-grams, how far its rank is from the profile's, or the full depth if the profile
 lacks it. The nearest language wins; ties go to the first by name.
 
-Profiles are fitted on at most ``per_language`` documents of a language, those whose id hashes lowest;
-that bound is a parameter. Predictions read whole texts.
+Profiles are fitted on about ``per_language`` documents of a language, those whose id hashes below that
+share of the language; the bound is a parameter. Predictions read whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null language or text is
-never learned from; with nothing to learn from, all is ``und``; repeated rows are predicted each on its
-own; other columns are not read.
+never learned from; with nothing to learn from, all is ``und``; equal distances go to the first language
+by name; repeated rows are predicted each on its own; an empty table gives an empty result; other columns
+are carried as they are, but for one that has an output's name, which is replaced (``names`` renames them).
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import fresh
+
 DEPTH = 400
 PER_LANGUAGE = 1000
 UNKNOWN = "und"
@@ -109,12 +112,11 @@ def fit(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str, depth: int = DEPTH, per_language: int = PER_LANGUAGE
 ) -> Profiles:
     """Profiles of the non-null languages in ``docs``; the driver receives ``depth`` rows a language."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id")), "id")
-    chosen = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("id").distinct()
-    learned = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    learned = learned.join(chosen, "id", "left_semi").select("lang", "text")
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    shares = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    shares = F.broadcast(known.sparkSession.createDataFrame(shares.collect(), shares.schema))  # one row a language
+    place = F.xxhash64("id").bitwiseAND((1 << 52) - 1) / float(1 << 52)
+    learned = known.join(shares, "lang").filter(place < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -137,23 +139,21 @@ def fit(
     return Profiles({lang: [g for _, g in sorted(pairs)] for lang, pairs in by_language.items()}, depth)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (1 less the distance as a share of the largest possible)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(profiles)  # depth x languages entries
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score (1 less the distance as a share of the largest possible)."""
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)  # depth x languages entries
+    replaced = {n.lower() for n in names}
+    others = [c for c in docs.columns if c.lower() not in replaced]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            found = [model.predict(x.as_py()) for x in texts]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
-            columns += [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*others, "lang_pred", "score"])
-
-    schema = docs.select(*others).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*others).mapInArrow(predict, schema)
+            found = [model.predict(x.as_py()) for x in batch.column(0)]
+            made = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*others, *names])
+
+    schema = docs.select(*others).schema.add(names[0], "string").add(names[1], "double")
+    return docs.select(F.col(text_col).alias(fresh(others, "_text")), *others).mapInArrow(predict, schema)
 
 
 def held_out(id_col: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, Scratch, slice_offsets, sorted_slices, word_count
+from .shared import SPACE, Scratch, fits, fresh, slice_offsets, sorted_slices, word_count
 
 MOST_EPOCHS = 3
 
@@ -83,15 +83,29 @@ def plan_mix(
 
 
 def mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of a plan, each as often as it is taken; ids must be unique.
+    """The documents of a plan, each as often as it is taken.
 
-    A document taken in part keeps its first words, joined by one blank.
+    A document taken in part keeps its first words, joined by one blank. Rows that share an id take the
+    plan's rows of that id one by one, in the order of their sizes.
     """
     columns = docs.columns
-    taken = plan.filter("taken > 0").select(F.col(id_col), *(F.col(c).alias(f"_{c}") for c in ("epochs", "part", "size")))
-    words = F.filter(F.split(text_col, SPACE), lambda w: w != "")
-    cut = F.when(F.col("_n") == F.col("_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.col("_n").cast("int")), " "))
-    whole = F.array_repeat(F.col("_size"), F.col("_epochs").cast("int"))
-    last = F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<bigint>"))
-    copies = docs.join(taken, id_col).withColumn("_n", F.explode(F.concat(whole, last)))
+    own = {c: fresh(columns, f"_{c}") for c in ("epochs", "part", "size", "k", "n")}
+    taken = plan.filter("taken > 0").select(F.col(id_col), *(F.col(c).alias(own[c]) for c in ("epochs", "part", "size")))
+    again = Scratch(docs.sparkSession, "mix").save(plan.groupBy(id_col).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select(id_col), "again")
+    if again.isEmpty():
+        met = docs.join(taken, id_col)
+    else:
+        size, every = F.col(own["size"]), plan.select(F.col(id_col), *(F.col(c).alias(own[c]) for c in ("epochs", "part", "size")))
+        few = F.broadcast(again) if fits(again) else again
+        rows = docs.join(few, id_col, "left_semi").withColumn(own["size"], word_count(F.col(text_col)))
+        rows = rows.withColumn(own["k"], F.row_number().over(Window.partitionBy(id_col).orderBy(size, F.xxhash64(text_col)))).drop(own["size"])
+        every = every.join(few, id_col, "left_semi")
+        every = every.withColumn(own["k"], F.row_number().over(Window.partitionBy(id_col).orderBy(size, F.desc(own["epochs"]), F.desc(own["part"]))))
+        twice = rows.join(every, [id_col, own["k"]]).drop(own["k"])
+        met = docs.join(few, id_col, "left_anti").join(taken, id_col).unionByName(twice)
+    n, words = F.col(own["n"]), F.filter(F.split(text_col, SPACE), lambda w: w != "")
+    cut = F.when(n == F.col(own["size"]), F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, n.cast("int")), " "))
+    whole = F.array_repeat(F.col(own["size"]), F.col(own["epochs"]).cast("int"))
+    last = F.when(F.col(own["part"]) > 0, F.array(own["part"])).otherwise(F.array().cast("array<bigint>"))
+    copies = met.withColumn(own["n"], F.explode(F.concat(whole, last))).filter(n > 0)
     return copies.withColumn(text_col, cut).select(*columns)

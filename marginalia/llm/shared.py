@@ -6,8 +6,11 @@ executor costs a re-read and not the job.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +22,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one of a single machine's own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,6 +38,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
+        for opened in _scopes:
+            opened.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -44,16 +52,43 @@ class Scratch:
         table = f"{self.root.rpartition('/')[2]}_{name}".replace("-", "_")
         writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
         writer.bucketBy(shuffle_width(self.spark), column).saveAsTable(table)
+        self.tables.append(table)
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes at its end all scratch tables opened inside; results must be saved elsewhere by then."""
+    opened: list[Scratch] = []
+    _scopes.append(opened)
+    try:
+        yield
+    finally:
+        _scopes.remove(opened)
+        for scratch in opened:
+            for table in scratch.tables:
+                scratch.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            scratch.drop("")
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, or with as many underscores behind it that no column has it; Spark's names ignore case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 #: A side of a join is sent to every task up to so many bytes; beyond it, both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
 

@@ -31,11 +31,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import bytewise
-from .shared import Scratch, shuffle_width
+from .shared import Scratch, fits, shuffle_width
 
 GRAM = 10
-#: Small tables up to this many rows are sent to every task; beyond it, rows are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 #: Different passages of one anchor up to which one automaton holds them.
 HOT_ANCHOR = 20_000
 #: Words of reference that one broadcast automaton may hold.
@@ -169,8 +167,8 @@ class SubstringDedup:
         self.length, self.id_col, self.carry, self.spacing = length, id_col, carry, spacing
         self.scratch = Scratch(docs.sparkSession, "substrings")
 
-    def _joined(self, docs: DataFrame, small: DataFrame, rows: int, how: str) -> DataFrame:
-        return docs.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, "id", how)
+    def _joined(self, docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
+        return docs.join(F.broadcast(small) if fits(small) else small, "id", how)
 
     def all_passages(self) -> DataFrame:
         """(anchor, hash, id, low, n): each document's passages, equal ones once."""
@@ -211,7 +209,6 @@ class SubstringDedup:
         several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
         wanted = first.join(several, "anchor").select("id", F.struct("anchor", "low", "n", (F.col("m") > HOT_ANCHOR).alias("hot")).alias("r"))
         routes = scratch.save(wanted.groupBy("id").agg(F.collect_list("r").alias("routes")), "routes")
-        rows = routes.agg(F.sum(F.size("routes")).alias("n")).first()["n"] or 0
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -244,7 +241,7 @@ class SubstringDedup:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "low", "high"])
 
-        sent = self._joined(self.docs, routes, rows, "inner").select("id", "text", "routes").mapInArrow(send, "anchor long, id long, low long, words binary")
+        sent = self._joined(self.docs, routes, "inner").select("id", "text", "routes").mapInArrow(send, "anchor long, id long, low long, words binary")
         sent = scratch.save(sent, "shards")
         filed = sent.filter("words IS NOT NULL").repartition(shuffle_width(sent.sparkSession), "anchor").sortWithinPartitions("anchor", "id", "low")
         cut = filed.mapInArrow(stream, "id long, low long, high long")
@@ -257,7 +254,7 @@ class SubstringDedup:
         """(id, spans): disjoint word spans to remove, without what only repeats inside one document."""
         scratch = self.scratch
         anchors = scratch.save(self.repeated_anchors(), "anchors")
-        few = anchors.count() <= BROADCAST_ROWS
+        few = fits(anchors)
         filed = scratch.save(self.all_passages().join(F.broadcast(anchors) if few else anchors, "anchor", "left_semi"), "passages")
         first = filed.groupBy("anchor", "hash").agg(F.min(F.struct("id", "low", "n")).alias("f")).select("anchor", "hash", "f.*")
         first = scratch.save(first, "first")
@@ -274,7 +271,6 @@ class SubstringDedup:
     def run(self) -> DataFrame:
         """One row per document: id, ``n_words``, ``n_removed``, ``kept`` (the kept words joined by one blank) and what is carried."""
         removed = self.removed_spans()
-        rows = removed.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
         length, spacing = self.length, self.spacing
 
         def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +299,7 @@ class SubstringDedup:
                     )
 
         carried = [f"_carry_{c}" for c in self.carry]
-        joined = self._joined(self.whole, removed, rows, "left").select("id", "text", "spans", *carried)
+        joined = self._joined(self.whole, removed, "left").select("id", "text", "spans", *carried)
         schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept string")
         for c in carried:
             schema.add(joined.schema[c])

@@ -1,7 +1,7 @@
 import random
 import re
 
-from marginalia.llm import substrings
+from marginalia.llm import shared, substrings
 from marginalia.llm.substrings import SubstringDedup, SuffixAutomaton, against_reference, spans
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -51,7 +51,7 @@ def test_matches_brute_force(spark):
 
 def test_split_anchors_and_shuffled_joins(spark, monkeypatch):
     monkeypatch.setattr(substrings, "HOT_ANCHOR", 3)
-    monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
     rows = corpus(2)
     assert result(spark, rows, 20) == brute(rows, 20)
 

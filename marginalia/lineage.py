@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local($|\[)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+            folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")  # a single machine's own
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import jaccard, language, mixing, packing, queries, substrings
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, fits, fresh, scratch_scope
 
 #: A document whose nearest profile is this far off is in no known language.
 LEAST_SCORE = 0.2
@@ -16,26 +16,44 @@ LEAST_SCORE = 0.2
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 #: Passages of so many words or more stay only where they come first.
 PASSAGE_WORDS = 50
-#: Up to so many ids are sent to every task; beyond it, documents are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters or near no language's profile."""
+    """Drop documents without letters or near no language's profile.
+
+    Null and empty texts have no letters and go; a null language is never learned from; repeated rows are
+    judged each; where nothing can be learned, all go; an empty table stays empty.
+    """
     profiles = language.fit(docs.filter(~language.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
-    known = language.identify(docs, profiles).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    known = language.identify(docs, profiles, names=(pred, score)).filter((F.col(pred) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
     return known.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id stays."""
+    """Of each group of near copies, the document with the least id stays.
+
+    Null and empty texts link with nothing and stay; rows repeated with id and text stand once; an empty
+    table stays empty.
+    """
     join = jaccard.JaccardJoin(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    copies = join.scratch.save(join.run().filter("doc_id <> component_id").select("doc_id"), "copies")
-    return docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti").select(*docs.columns)
+    found = join.scratch.save(join.run(), "components")
+    copies = join.scratch.save(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    left = docs.join(F.broadcast(copies) if fits(copies) else copies, "doc_id", "left_anti").select(*docs.columns)
+    again = join.scratch.save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    few = F.broadcast(again) if fits(again) else again
+    once = left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(few, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of long passages are cut out of the texts; a document that loses all its words goes."""
+    """Later copies of long passages are cut out of the texts; a document that loses all its words goes.
+
+    Null and empty texts stay, as empty ones; a text that loses nothing keeps its white space; rows that
+    share an id are read as one document; an empty table stays empty.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = substrings.SubstringDedup(docs, PASSAGE_WORDS, carry=others, spacing=True).run()
     left = found.filter("n_words > n_removed OR n_words = 0").withColumnRenamed("kept", "text")
@@ -43,12 +61,17 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source up to its target: whole epochs of it, then documents in random order up to the cut."""
+    """Each source up to its target: whole epochs of it, then documents in random order up to the cut.
+
+    Documents without words are never taken; a null source is one of its own; equal keys go by id; an
+    empty table stays empty.
+    """
     mixed = mixing.mix(docs, mixing.plan_mix(docs))
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids; a null or empty text is one end token, repeated rows are packed each, an empty table gives no piece."""
     return packing.pack(docs, queries.tokenizer_path(), queries.END_ID)
 
 
@@ -66,8 +89,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = queries.table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.save(docs, str(i))
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch_scope():  # a stage's own tables go once its result is saved
+            docs = scratch.save(stage(spark, docs, sf_dir), str(i))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,8 +13,11 @@ rows are packed each; an empty table gives no piece; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import os
 import unicodedata
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 BLOCK = 1024
 QUADRATIC = 1 / 2048
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 CACHE = 300_000
 _encoders: dict[str, WordEncoder] = {}
 
@@ -34,8 +37,9 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose tokens never cross white space.
 
-    Each distinct stretch between ASCII blanks is normalised, split and encoded once and then looked
-    up. Texts that hold a special token's string are encoded by the tokenizer as they are.
+    Of each slice of texts, the distinct stretches between ASCII blanks are normalised and split together;
+    each distinct word is encoded once and then looked up. When too many words are held, those met in the
+    fewest slices go. Texts that hold a special token's string are encoded by the tokenizer as they are.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -51,44 +55,52 @@ class WordEncoder:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        # fixed value: how this vocabulary splits a text before merging
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.cache, self.stretches, self.known = cache, {}, {}
-
-    def split(self, stretch: str) -> list[str]:
-        if stretch.isascii():
-            low = stretch.lower()
-        else:
-            stretch = unicodedata.normalize("NFC", stretch)
-            low = "".join(c.lower() for c in stretch) if "Σ" in stretch else stretch.lower()
-        return [low] if low.isalpha() else self.pieces(low)
+        # fixed value: how this vocabulary splits a text before merging; a line break ends a stretch
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
+        self.cache = cache
+        # of each word held: where its ids begin, how many they are, in how many slices it was met
+        self.places = numbered(["\n"])
+        self.starts, self.lengths, self.met = (np.zeros(1, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.uint32)
+
+    def split(self, stretches: pa.Array) -> list[str]:
+        """The words of all stretches, a line break after each stretch."""
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(stretches)], stretches), "\n")[0].as_py() + "\n" if len(stretches) else ""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no other letter is lowered by what follows it
+        return self.pieces(text.lower())
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            ids = np.array(self.words.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                raise ValueError("the vocabulary doesn't mark word ends")
-            raw, low = ids.tobytes(), 0
-            for word, high in zip(some, (cuts * 4).tolist()):
-                self.known[word] = raw[low:high]
-                low = high
-
-    def lookup(self, stretches: list[str]) -> list[bytes]:
-        have = self.stretches
-        if len(have) > self.cache:
-            have.clear()
-        if len(self.known) > self.cache:
-            self.known.clear()
-        new = [s for s in stretches if s not in have]
-        if new:
-            parts = [self.split(s) for s in new]
-            self.learn(list({w for p in parts for w in p if w not in self.known}))
-            known = self.known
-            for s, p in zip(new, parts):
-                have[s] = known[p[0]] if len(p) == 1 else b"".join(known[w] for w in p)
-        return [have[s] for s in stretches]
+        runs = [" ".join(words[at : at + 500]) for at in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.words.encode_batch_fast(runs, add_special_tokens=False)])
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            raise ValueError("the vocabulary doesn't mark word ends")
+        starts = np.concatenate(([0], cuts[:-1]))
+        self.starts = np.concatenate((self.starts, starts + len(self.ids)))
+        self.lengths = np.concatenate((self.lengths, cuts - starts))
+        self.met = np.concatenate((self.met, np.zeros(len(words), np.int64)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def forget(self) -> None:
+        """Keep the half of the words that were met most often."""
+        names = list(self.places)
+        keep = np.sort(1 + np.argsort(-self.met[1:], kind="stable")[: self.cache // 2])
+        keep = np.concatenate(([0], keep))
+        self.ids = self.ids[stretch_places(self.starts[keep], self.lengths[keep])]
+        self.lengths, self.met = self.lengths[keep], self.met[keep] // 2
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.places = numbered(names[k] for k in keep.tolist())
+
+    def lookup(self, words: list[str]) -> np.ndarray:
+        """Place of each word in the tables."""
+        if len(self.places) > self.cache:
+            self.forget()
+        at = np.array(list(map(self.places.__getitem__, words)), np.int64)
+        if new := list(islice(self.places, len(self.starts), None)):
+            self.learn(new)
+        self.met += np.bincount(at, minlength=len(self.met)) > 0
+        return at
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; nulls are empty."""
@@ -99,23 +111,40 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         bounds = np.array(split.offsets)
         coded = split.flatten().dictionary_encode()
-        ids = self.lookup(coded.dictionary.to_pylist())
-        lengths = np.array([len(b) for b in ids], np.int64) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        words = np.array(coded.indices)
-        each = lengths[words]
+        words = self.lookup(self.split(coded.dictionary))
+        breaks = np.flatnonzero(words == 0)
+        before = np.concatenate(([0], np.cumsum(self.lengths[words])))
+        cuts = np.concatenate(([0], before[breaks]))
+        known = self.ids[stretch_places(self.starts[words], self.lengths[words])]  # the stretches' ids, one after the other
+        at = np.array(coded.indices)
+        each = np.diff(cuts)[at]
         ends = np.concatenate(([0], np.cumsum(each)))
-        at = np.repeat(starts[words] - ends[:-1], each)
-        at += np.arange(len(at))
-        out = np.split(flat[at], ends[bounds[1:-1] - bounds[0]]) if len(texts) else []
+        flat = known[stretch_places(cuts[:-1][at], each)]
+        out = np.split(flat, ends[bounds[1:-1] - bounds[0]]) if len(texts) else []
         for i in np.flatnonzero(special):
             out[i] = np.array(self.whole.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
 
 
+def numbered(names: Iterable[str]) -> defaultdict[str, int]:
+    """Numbers from 0 for the names, and further ones for whatever is asked next."""
+    places = defaultdict(count().__next__)
+    for name in names:
+        places[name]
+    return places
+
+
+def stretch_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``starts``, one run after the other."""
+    ends = np.cumsum(lengths)
+    places = np.repeat(starts - (ends - lengths), lengths)
+    places += np.arange(len(places))
+    return places
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 

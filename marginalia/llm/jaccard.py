@@ -29,7 +29,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,8 +44,9 @@ FEW_PAIRS = 100_000
 SLOW_ROUND = 0.7
 #: Bits of a set's parity map: bit b tells whether an odd number of its shingles hash to b.
 PARITY_BITS = 1024
+MAP = [f"b{i}" for i in range(PARITY_BITS // 64)]
 #: Shingles that one group of a centre may hold; larger groups are split and the centre is repeated.
-GROUP_SHINGLES = 1 << 19
+GROUP_SHINGLES = 1 << 16
 #: The table of counts: buckets by the shingle's top bits, sent to the driver and back in blocks.
 COUNT_BITS, BLOCK_BITS = 22, 16
 #: Tasks that add up the counts of all others, some blocks each.
@@ -87,13 +88,19 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def count_blocks(names: list[str], blocks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Rows (.., block, counts) of the blocks named, other columns null."""
-    raw = [counts[b << BLOCK_BITS :][: 1 << BLOCK_BITS].tobytes() for b in blocks.tolist()]
-    kinds = {"bits": pa.binary()}
-    empty = [pa.nulls(len(blocks), kinds.get(name, pa.int64())) for name in names[:-2]]
+    """Rows (.., block, counts) of the blocks named, in as few bytes a count as will do; other columns null."""
+    raw = []
+    for b in blocks.tolist():
+        own = counts[b << BLOCK_BITS :][: 1 << BLOCK_BITS]
+        raw.append(own.astype(np.min_scalar_type(own.max())).tobytes())
+    empty = [pa.nulls(len(blocks), pa.int64()) for _ in names[:-2]]
     return pa.RecordBatch.from_arrays([*empty, pa.array(blocks, pa.int32()), pa.array(raw, pa.binary())], names)
 
 
+def read_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) >> BLOCK_BITS}")
+
+
 def parity_map(shingles: np.ndarray) -> np.ndarray:
     counts = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
     return np.packbits((counts & 1).astype(bool)).view(np.int64)
@@ -186,7 +193,7 @@ class JaccardJoin:
     def summaries(self) -> DataFrame:
         """Per document: size, signature and parity map of its set; then the task's shingle counts, in blocks."""
         k, lower = self.k, self.lower
-        names = ["id", "n", "one", "two", "bits", "block", "counts"]
+        names = ["id", "n", "one", "two", *MAP, "block", "counts"]
 
         def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(1 << COUNT_BITS, np.uint32)
@@ -196,10 +203,11 @@ class JaccardJoin:
                     if sets:
                         np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
                     one, two = zip(*map(signature, sets))
+                    maps = np.stack([parity_map(s) for s in sets])
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(row, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                            pa.array([parity_map(s).tobytes() for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
+                            *(pa.array(np.ascontiguousarray(column)) for column in maps.T), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
                         ],
                         names,
                     )
@@ -207,7 +215,7 @@ class JaccardJoin:
             if len(blocks):
                 yield count_blocks(names, blocks, counts)
 
-        return self.docs.mapInArrow(summarise, "id long, n long, one long, two long, bits binary, block int, counts binary")
+        return self.docs.mapInArrow(summarise, ", ".join(f"{name} long" for name in names[:-2]) + ", block int, counts binary")
 
     def counts(self, summary: DataFrame) -> ShingleCounts:
         """The counts of all tasks, summed in steps; the driver receives the table's fixed size."""
@@ -218,7 +226,7 @@ class JaccardJoin:
             by_block = total.reshape(-1, 1 << BLOCK_BITS)
             for batch in batches:
                 for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    by_block[block] += np.frombuffer(raw, "<u8") if len(raw) > 4 << BLOCK_BITS else np.frombuffer(raw, "<u4")
+                    by_block[block] += read_counts(raw)
             blocks = np.flatnonzero(by_block.any(axis=1))
             if len(blocks):
                 yield count_blocks(names, blocks, total)
@@ -229,7 +237,7 @@ class JaccardJoin:
         made = made.repartition(COUNT_TASKS, "block").mapInArrow(scanned, "block int, counts binary")
         total = np.zeros(1 << COUNT_BITS, np.uint64)
         for row in made.toArrow().to_pylist():
-            total[row["block"] << BLOCK_BITS :][: 1 << BLOCK_BITS] = np.frombuffer(row["counts"], "<u8")
+            total[row["block"] << BLOCK_BITS :][: 1 << BLOCK_BITS] = read_counts(row["counts"])
         return ShingleCounts(total)
 
     def short_lists(self, order: ShingleCounts) -> DataFrame:
@@ -323,24 +331,22 @@ class JaccardJoin:
         self.scratch.drop(f"{name}-routes")
         return found, pairs
 
+    def alike(self, percent: int) -> Column:
+        """Whether the sizes and parity maps of (n, b0..) and (cn, cb0..) allow a similarity of ``percent``."""
+        sizes = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
+        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"c{b}"))) for b in MAP), F.lit(0))
+        both = F.col("n") + F.col("cn")
+        return sizes & (differ <= both - 2 * F.ceil(percent * both / (100 + percent)))
+
+    def mapped(self, rows: DataFrame, key: str = "id") -> DataFrame:
+        """``rows`` with the parity map of a set, its columns named after ``key`` if that is the centre."""
+        maps = self.maps.select(F.col("id").alias(key), *(F.col(b).alias(b if key == "id" else f"c{b}") for b in MAP))
+        return rows.join(F.broadcast(maps) if fits(self.maps) else maps, key)
+
     def possible(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """Of pairs (c, cn, id, n), those whose sizes and parity maps allow a similarity of ``percent``."""
+        """Of pairs (c, cn, id, n), those that may reach ``percent``."""
         pairs = pairs.filter(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent).distinct()
-        bounds = self.bounds
-
-        def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                both = np.array(batch.column(2)) + np.array(batch.column(3))
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for c in (4, 5))
-                differ = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
-                yield batch.filter(pa.array(differ <= both - 2 * bounds.overlap(both, percent))).select(["c", "id", "n"])
-
-        maps = self.maps
-        small = fits(maps)
-        ends = [maps.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits")) for name in ("c", "id")]
-        for name, end in zip(("c", "id"), ends):
-            pairs = pairs.join(F.broadcast(end) if small else end, name)
-        return pairs.select("c", "id", "cn", "n", "c_bits", "id_bits").mapInArrow(unlike, "c long, id long, n long")
+        return self.mapped(self.mapped(pairs), "c").filter(self.alike(percent)).select("c", "id", "n")
 
     @staticmethod
     def against(lists: DataFrame, centre: DataFrame) -> DataFrame:
@@ -355,11 +361,11 @@ class JaccardJoin:
         order = self.counts(scanned)
         summary = scanned.filter("block IS NULL").select("id", "n", "one", "two")
         same = ["n", "one", "two"]
-        distinct = scanned.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
+        distinct = scanned.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), *(F.first(b).alias(b) for b in MAP))
         distinct = scratch.save(distinct, "distinct")
         lists = scratch.save(self.filed(distinct, order), "lists")
         met = lists.select("id").distinct()
-        self.maps = scratch.save(distinct.select("id", "one", "bits").join(met, "id", "left_semi"), "maps")
+        self.maps = scratch.save(distinct.select("id", "one", *MAP).join(met, "id", "left_semi"), "maps")
         self.signatures = self.maps.select("id", "one")
         lists = lists.withColumns({"label": F.col("id"), "used": F.lit(0), "state": F.lit(1)})
         near_percent = max(1, 2 * self.percent - 100)
@@ -405,10 +411,10 @@ class JaccardJoin:
             before = crossing
         # a list in pieces meets itself piece by piece
         pieces = F.explode(F.expr("sequence(0, pieces - 1)"))
-        other = lists.select("token", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("state").alias("cs"), pieces.alias("piece"))
+        lists = self.mapped(lists)
+        other = lists.select("token", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("state").alias("cs"), *(F.col(b).alias(f"c{b}") for b in MAP), pieces.alias("piece"))
         apart = (F.col("label") != F.col("cl")) & (F.col("c") < F.col("id")) & (F.abs(F.col("state") - F.col("cs")) < 2)
-        pairs = lists.join(other, ["token", "piece"]).filter(apart).select("c", "cn", "id", "n")
-        pairs = self.possible(pairs, self.percent).join(tested, ["c", "id"], "left_anti")
+        pairs = lists.join(other, ["token", "piece"]).filter(apart & self.alike(self.percent)).select("c", "id", "n").distinct().join(tested, ["c", "id"], "left_anti")
         found, _ = self.measure(pairs, "rest")
         links = links.unionByName(found.filter("linked").select(F.col("c").alias("u"), F.col("id").alias("v")))
         grouped = scratch.save(components(links, scratch, "graph-rest").withColumnRenamed("id", "rep"), "grouped")

@@ -4,7 +4,8 @@ Documents are gathered into blocks of bounded size. Each block's distinct n-gram
 their counts) are sent to a partition chosen by their hash; there they are the count table's entries and
 the join's requests at once, and the partition answers each block with the corpus counts in the order
 that the block asked. A block then scores every word of its documents and sums per document. Only
-distinct n-grams of a block move, so frequent n-grams are no hot keys.
+distinct n-grams of a block move, so frequent n-grams are no hot keys. N-grams are known by whole 64-bit
+hashes.
 
 The score of a word is log of count(history, word) / count(history) for the longest history whose n-gram
 was counted ``least`` times or more, plus log(``factor``) for each word of history given up; a single
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise
-from .shared import Scratch
+from .shared import Scratch, shuffle_width
 
 BLOCK_BYTES = 8 << 20
 #: Text bytes per partition of the count table.
 PARTITION_BYTES = 12 << 20
 #: Answers of up to so many bytes are sent to every task; beyond it, they are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Bytes of text in a bucket of the saved blocks.
+BUCKET_BYTES = 128 << 20
+#: Partitions of the count table up to which a block sends its n-grams by ranges; beyond it, by rows.
+MOST_PARTS = 1 << 13
+#: Turns in which the ranges are counted.
+TURNS = 2
 ORDER = 3
 FACTOR = 0.4
 LEAST = 2
@@ -82,23 +90,18 @@ class BlockGrams:
 
 
 def packed(ascending: np.ndarray, part: int, parts: int) -> bytes:
-    """A partition's hashes as steps of 4 bytes where those suffice and of 5 else; the first byte tells.
-
-    The top 40 + log2(parts) bits of a hash are kept, of which the partition's own need not be written:
-    46 bits at a gigabyte, 56 at 100 TB, where one n-gram in 10,000 or so shares its count with another.
-    """
-    shift = 24 - int(np.log2(parts))
-    first = (-(-part * 65536 // parts) << 48) >> shift
-    steps = np.diff((ascending >> np.uint64(shift)) - np.uint64(first), prepend=np.uint64(0))
-    width = 4 if not len(steps) or int(steps.max()) < 1 << 32 else 5
+    """A partition's whole hashes as steps from one to the next, in as few bytes a step as will do; the first byte tells how many."""
+    first = (-(-part * 65536 // parts) << 48) & (1 << 64) - 1
+    steps = np.diff(ascending, prepend=np.uint64(first))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
     return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
+def unpacked(raw: bytes, part: int, parts: int) -> np.ndarray:
     width = raw[0]
     out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+    return np.uint64((-(-part * 65536 // parts) << 48) & (1 << 64) - 1) + np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def score_words(grams: BlockGrams, totals: np.ndarray, n_corpus: int, factor: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +127,76 @@ def score_words(grams: BlockGrams, totals: np.ndarray, n_corpus: int, factor: fl
     return score, order
 
 
+def by_parts(blocks: DataFrame, parts: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(part, block, words, totals) and the corpus's words: each block's corpus counts in the order of its n-grams.
+
+    A partition of the count table is a range of hashes; a block's n-grams of one range travel as one row.
+    The ranges are counted in turns, so that only a share of all n-grams is on the way at a time.
+    """
+
+    def turn(k: int) -> DataFrame:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    grams = BlockGrams(texts.as_py())
+                    bounds = grams.parts(parts)
+                    words = grams.n_words if k == 0 else 0  # counted once a block
+                    for part in range(k, parts, TURNS):
+                        own = slice(bounds[part], bounds[part + 1])
+                        if own.start == own.stop and not words:
+                            continue
+                        counts = zlib.compress(grams.own[own].astype("<u4").tobytes(), 1)
+                        values = ([part], [block], [words], [packed(grams.distinct[own], part, parts)], [counts])
+                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["part", "block", "words", "grams", "counts"])
+                        words = 0
+
+        requests = blocks.select("block", "texts").mapInArrow(ask, "part long, block long, words long, grams binary, counts binary")
+        return scratch.save(requests.groupBy("part").applyInArrow(answer, "part long, block long, words long, totals binary"), f"answers-{k}")
+
+    def answer(group: pa.Table) -> pa.Table:
+        part = group["part"][0].as_py()
+        asked = [unpacked(b, part, parts) for b in group["grams"].to_pylist()]
+        counts = [np.frombuffer(zlib.decompress(b), "<u4") for b in group["counts"].to_pylist()]
+        values = np.concatenate(asked)
+        _, inverse = np.unique(values, return_inverse=True)
+        totals = np.bincount(inverse, weights=np.concatenate(counts)).astype("<u8")[inverse] if len(values) else values
+        cuts = np.cumsum([len(a) for a in asked])[:-1]
+        back = [zlib.compress(t.tobytes(), 1) for t in np.split(totals, cuts)]
+        return pa.table([group["part"], group["block"], group["words"], pa.array(back, pa.binary())], ["part", "block", "words", "totals"])
+
+    answers = reduce(DataFrame.unionByName, [turn(k) for k in range(min(TURNS, parts))])
+    return answers, answers.agg(F.sum("words").alias("n")).first()["n"] or 0
+
+
+def by_rows(blocks: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """As ``by_parts`` with one row for each distinct n-gram of a block, joined to the table of all counts.
+
+    Where ranges would be so many that a block has few n-grams in each, rows need no ranges.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                grams = BlockGrams(texts.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.int64()), pa.array([grams.n_words], pa.int64())], ["block", "gram", "own"])
+                for at in range(0, len(grams.own), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    columns = [pa.array(np.full(len(grams.own[some]), block)), pa.array(grams.distinct[some].view(np.int64)), pa.array(grams.own[some].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "gram", "own"])
+
+    def pack(group: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(group["gram"], np.int64).view(np.uint64))
+        totals = np.array(group["total"], np.int64)[order].astype("<u8")
+        return pa.table({"part": [0], "block": [group["block"][0].as_py()], "totals": pa.array([zlib.compress(totals.tobytes(), 1)], pa.binary())})
+
+    entries = scratch.save(blocks.select("block", "texts").mapInArrow(explode, "block long, gram long, own long"), "entries")
+    n_corpus = entries.filter("gram IS NULL").agg(F.sum("own").alias("n")).first()["n"] or 0
+    counts = entries.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("own").alias("total"))
+    met = entries.join(counts, "gram").select("block", "gram", "total")
+    return scratch.save(met.groupBy("block").applyInArrow(pack, "part long, block long, totals binary"), "answers"), n_corpus
+
+
 def score(docs: DataFrame, factor: float = FACTOR, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_words``, ``log_score``, ``mean_log_score`` and words scored by each order."""
     spark = docs.sparkSession
@@ -154,40 +227,16 @@ def score(docs: DataFrame, factor: float = FACTOR, least: int = LEAST, id_col: s
         if ids:
             yield block()
 
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = docs.mapInArrow(gather, f"block long, bytes long, ids array<{kind}>, texts array<string>")
-    blocks = scratch.save_bucketed(blocks, "blocks", "block")  # so that answers come to the blocks, not both to new places
-    parts = max(1, min(1 << 16, -(-(blocks.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // PARTITION_BYTES)))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                grams = BlockGrams(texts.as_py())
-                bounds = grams.parts(parts)
-                words = grams.n_words  # counted once a block
-                for part in range(parts):
-                    own = slice(bounds[part], bounds[part + 1])
-                    if own.start == own.stop:
-                        continue
-                    counts = zlib.compress(grams.own[own].astype("<u4").tobytes(), 1)
-                    values = ([part], [block], [words], [packed(grams.distinct[own], part, parts)], [counts])
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["part", "block", "words", "grams", "counts"])
-                    words = 0
-
-    def answer(group: pa.Table) -> pa.Table:
-        asked = [unpacked(b) for b in group["grams"].to_pylist()]
-        counts = [np.frombuffer(zlib.decompress(b), "<u4") for b in group["counts"].to_pylist()]
-        values = np.concatenate(asked)
-        _, inverse = np.unique(values, return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate(counts)).astype("<u8")[inverse]
-        cuts = np.cumsum([len(a) for a in asked])[:-1]
-        back = [zlib.compress(t.tobytes(), 1) for t in np.split(totals, cuts)]
-        return pa.table([group["part"], group["block"], group["words"], pa.array(back, pa.binary())], ["part", "block", "words", "totals"])
-
-    requests = blocks.select("block", "texts").mapInArrow(ask, "part long, block long, words long, grams binary, counts binary")
-    answers = scratch.save(requests.groupBy("part").applyInArrow(answer, "part long, block long, words long, totals binary"), "answers")
-    stats = answers.agg(F.sum("words").alias("n"), F.sum(F.octet_length("totals")).alias("b")).first()
-    n_corpus, small = stats["n"] or 0, (stats["b"] or 0) <= BROADCAST_BYTES
+    # so that answers come to the blocks, not both to new places
+    blocks = scratch.save_bucketed(blocks, "blocks", "block", max(shuffle_width(spark), -(-size // BUCKET_BYTES)))
+    parts = max(1, -(-size // PARTITION_BYTES))
+    if parts <= MOST_PARTS:
+        answers, n_corpus = by_parts(blocks, parts, scratch)
+    else:
+        answers, n_corpus = by_rows(blocks, scratch)
+    small = (answers.agg(F.sum(F.octet_length("totals")).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES
     by_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "totals"))).alias("answers"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,17 +44,30 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with self.tidy():
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def save_bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+    def save_bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
         """Like ``save``, in buckets by a column: a later join on it leaves this side where it is."""
         table = f"{self.root.rpartition('/')[2]}_{name}".replace("-", "_")
         writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
-        writer.bucketBy(shuffle_width(self.spark), column).saveAsTable(table)
+        with self.tidy():
+            writer.bucketBy(buckets, column).saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
+    @contextmanager
+    def tidy(self) -> Iterator[None]:
+        """What is shuffled for a saved table goes once it is saved."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        was = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, was)
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

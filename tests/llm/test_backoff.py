@@ -35,12 +35,14 @@ def corpus():
     return list(enumerate([None, "", " ", "one", "one two", *texts, texts[0]]))
 
 
-@pytest.mark.parametrize("shuffled", [False, True])
-def test_matches_brute_force(spark, monkeypatch, shuffled):
+@pytest.mark.parametrize(("shuffled", "rowwise"), [(False, False), (True, False), (False, True)])
+def test_matches_brute_force(spark, monkeypatch, shuffled, rowwise):
     monkeypatch.setattr(backoff, "BLOCK_BYTES", 900)
     monkeypatch.setattr(backoff, "PARTITION_BYTES", 2000)
     if shuffled:
         monkeypatch.setattr(backoff, "BROADCAST_BYTES", 0)
+    if rowwise:
+        monkeypatch.setattr(backoff, "MOST_PARTS", 0)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS block")
     got = {r["doc_id"]: r for r in backoff.score(df).collect()}

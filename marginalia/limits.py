@@ -29,7 +29,7 @@ ERROR_CODES = frozenset(
         "VALIDATION_REQUIRED_FIELD_MISSING", "VALIDATION_FIELD_FORMAT_INVALID", "VALIDATION_INTEGER_OVERFLOW",
         "NOTEBOOK_NOT_FOUND", "NOTEBOOK_EMPTY", "NOTE_NOT_FOUND", "CHUNK_NOT_FOUND", "SOURCE_NOT_FOUND", "SOURCE_ALREADY_EXISTS",
         "EMBEDDING_INVALID", "STUDIO_KIND_INVALID", "SYSTEM_DB_LOCKED", "SYSTEM_SERVICE_UNAVAILABLE", "SYSTEM_EMBED_DISABLED",
-        "SYSTEM_LLM_TIMEOUT", "SYSTEM_LLM_BAD_RESPONSE", "INGEST_UNSUPPORTED_FORMAT", "INGEST_FILE_TOO_LARGE", "INGEST_EMPTY",
+        "SYSTEM_LLM_TIMEOUT", "SYSTEM_LLM_HTTP_ERROR", "SYSTEM_LLM_BAD_RESPONSE", "INGEST_UNSUPPORTED_FORMAT", "INGEST_FILE_TOO_LARGE", "INGEST_EMPTY",
         "INGEST_FETCH_FAILED", "INGEST_URL_BLOCKED", "INGEST_PARSE_FAILED", "INGEST_PDF_SUPPORT_MISSING", "INGEST_CHUNK_LIMIT",
     }
 )

@@ -30,7 +30,7 @@ def cited(normal: Column) -> Column:
     """Distinct source numbers in brackets, ascending, of a text already in NFKC."""
     spans = X.matches(normal, BRACKETS, 1)
     numbers = F.flatten(F.transform(spans, lambda s: X.matches(s, NUMBER, 1)))
-    return F.array_sort(F.array_distinct(F.transform(numbers, lambda n: n.try_cast("int"))))
+    return F.array_sort(F.array_distinct(F.transform(numbers, lambda n: F.coalesce(n.try_cast("long"), F.lit((1 << 63) - 1)))))
 
 
 def valid(numbers: Column, n: Column) -> Column:
@@ -115,7 +115,8 @@ def claims_of(text: str, n_sources: set[int]) -> Iterator[tuple[int, frozenset[s
             for m, numbers in spans:
                 clause = _grams(_BRACKET.sub(" ", sentence[start : m.start()]))
                 start = m.end()
-                by_number |= {n: clause or claim for n in numbers}
+                if clause:  # a marker right behind another says nothing of its own
+                    by_number |= {n: clause for n in numbers}
         yield from by_number.items()
 
 

@@ -45,13 +45,13 @@ def resolve(host: str) -> str:
 
 def checked_url(url: str) -> tuple[str, str, int, str]:
     """(scheme, host, port, target) of a URL that may be fetched."""
-    parts = urlsplit(url)
-    if parts.scheme not in ("http", "https") or not parts.hostname:
-        raise EngineError("INGEST_URL_BLOCKED", f"not a web address: {url}")
     try:
+        parts = urlsplit(url)
         port = parts.port or (443 if parts.scheme == "https" else 80)
     except ValueError as e:
-        raise EngineError("INGEST_URL_BLOCKED", f"bad port: {url}") from e
+        raise EngineError("INGEST_URL_BLOCKED", f"no address: {url}") from e
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        raise EngineError("INGEST_URL_BLOCKED", f"not a web address: {url}")
     target = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     return parts.scheme, parts.hostname, port, target
 
@@ -80,7 +80,9 @@ def fetch(url: str) -> tuple[bytes, str, str]:
         scheme, host, port, target = checked_url(url)
         try:
             status, headers, body = _get(scheme, host, port, target, resolve(host))
-        except OSError as e:
+        except EngineError:
+            raise
+        except (OSError, ValueError, http.client.HTTPException) as e:
             raise EngineError("INGEST_FETCH_FAILED", str(e)) from e
         if status in REDIRECTS and headers.get("location"):
             url = urljoin(url, headers["location"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os.path
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..limits import MAX_SOURCE_BYTES
+from ..limits import MAX_SOURCE_BYTES, EngineError
+from .fetch import fetch
 from .html import html_text
 
 # fixed values: kinds by suffix
@@ -112,6 +114,34 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return made.withColumn("title", F.when(F.col("titled"), F.col("title")).otherwise(F.col("origin"))).withColumn("kind", F.lit("url")).drop("titled")
 
 
+def read_urls(urls: DataFrame, get: Callable[[str], tuple[bytes, str, str]] = fetch) -> DataFrame:
+    """Sources from web addresses (url): fetched under guard, read by what came, kind ``url``.
+
+    A page that can't be had is a row with its error code. ``get`` gives body, content type and final address.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for url in frame["url"]:
+                try:
+                    body, content_type, final = get(url or "")
+                    rows.append((final, body, content_type, None))
+                except EngineError as e:
+                    rows.append((url, b"", "", e.code))
+            yield pd.DataFrame(rows, columns=["origin", "content", "content_type", "failed"])
+
+    got = urls.select("url").mapInPandas(run, "origin string, content binary, content_type string, failed string")
+    kind, charset = content_kind(F.col("content_type"), F.col("content")), charset_of(F.col("content_type"))
+    made = got.withColumn("x", extract(kind, F.coalesce("origin", F.lit("")), F.col("content"), F.coalesce(charset, F.lit(""))))
+    own = F.when(F.col("x.title") != F.element_at(F.split("origin", "/"), -1), F.col("x.title"))
+    ok = F.col("failed").isNull()
+    return made.select(
+        "origin", F.lit("url").alias("kind"), F.coalesce(own, F.col("origin")).alias("title"), F.when(ok, F.col("x.text")).otherwise("").alias("text"),
+        F.when(ok, F.sha2("content", 256)).alias("sha256"), F.coalesce("failed", "x.error").alias("error"),
+    )
+
+
 def content_kind(content_type: Column, body: Column) -> Column:
     """Kind of a fetched body by its type or first bytes."""
     low, text = F.lower(F.coalesce(content_type, F.lit(""))), F.decode(F.substring(body, 1, 256), "ISO-8859-1")

@@ -246,3 +246,106 @@ def test_streaming_ingest(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         start_ingest(spark, f"file://{folder}", "source_id long, title string, text string", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+
+
+def test_html_that_nothing_closes():
+    assert html_text("<p>a</p><noscript>hidden<p>b</p>") == ("", "a\nhidden\nb")
+    assert html_text("<template>x</template><p>y<script>if (a < b) '</p>'</script>z") == ("", "yz")
+    assert html_text("<p>y<style>never closed <p>z") == ("", "y")
+    assert html_text("<title>A<body>b <a title='x > y'>c</a> 1 < 2") == ("A", "b c 1 < 2")
+    assert html_text("<head><noscript>x</head><body>Shown &lt;b&gt;") == ("", "xShown <b>")
+    assert html_text("<textarea><p>raw &amp; plain</textarea><p>t<br/>u</p><p") == ("", "<p>raw & plain\nt\nu")
+
+
+def test_adjacent_markers_keep_the_first_clause():
+    from marginalia.operators.citations import claims_of
+
+    found = dict(claims_of("Alpha beta [S1] gamma delta [S2][S1].", {1, 2}))
+    assert "al" in found[1] and "ga" not in found[1] and "ga" in found[2]
+
+
+def test_citation_numbers_beyond_int(spark):
+    from marginalia.operators import citations
+
+    rows = spark.createDataFrame([("x [S9999999999] [S1] [S99999999999999999999]",)], "t string").select(citations.cited(F.col("t")).alias("n"))
+    got = rows.select("n", citations.invalid(F.col("n"), F.lit(3)).alias("bad")).first()
+    assert got["n"] == [1, 9999999999, 2**63 - 1] and got["bad"] == [9999999999, 2**63 - 1]
+
+
+class _Replies:
+    """An endpoint on this machine that answers with what a test lays down."""
+
+    def __init__(self, status=200, body=b"{}", kind="application/json"):
+        import http.server
+        import threading
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                self.send_response(status)
+                self.send_header("Content-Type", kind)
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            do_POST = do_GET
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def __enter__(self):
+        return backends.HttpBackend(f"http://127.0.0.1:{self.server.server_port}/v1", "m", "e")
+
+    def __exit__(self, *_):
+        self.server.shutdown()
+        self.server.server_close()
+
+
+def _code(call):
+    with pytest.raises(EngineError) as e:
+        call()
+    return e.value.code
+
+
+def test_http_backend_errors():
+    with _Replies(500) as b:
+        assert _code(lambda: b.chat([])) == "SYSTEM_LLM_HTTP_ERROR" and _code(lambda: list(b.chat_stream([]))) == "SYSTEM_LLM_HTTP_ERROR" and not b.available()
+    with _Replies(body=b"<html>", kind="text/html") as b:
+        assert _code(lambda: b.chat([])) == "SYSTEM_LLM_BAD_RESPONSE" and not b.available()
+    with _Replies(body=b'{"choices": [{"message": {"content": null}}], "data": [{}]}') as b:
+        assert _code(lambda: b.chat([])) == _code(lambda: b.embed(["x"])) == "SYSTEM_LLM_BAD_RESPONSE" and b.available()
+    with _Replies(body=b'{"choices": [{"message": {"content": "hi"}}], "data": [{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}]}') as b:
+        assert b.chat([]) == "hi" and b.embed(["x", "y"]) == [[1.0], [2.0]]
+    stream = b': note\ndata: {"choices": [{"delta": {"content": "a"}}]}\n\ndata: broken\ndata: {"choices": []}\ndata: {"choices": [{"delta": {"content": "b"}}]}\ndata: [DONE]\ndata: {"error": 1}\n'
+    with _Replies(body=stream) as b:
+        assert "".join(b.chat_stream([])) == "ab"
+    with _Replies(body=b'data: {"error": "full"}\n') as b:
+        assert _code(lambda: list(b.chat_stream([]))) == "SYSTEM_LLM_BAD_RESPONSE"
+    for url in ("http://[::1:1/v1", "nothing://x", "http://127.0.0.1:1"):
+        bad = backends.HttpBackend(url, "m", " ")
+        assert _code(lambda: bad.chat([])) == "SYSTEM_SERVICE_UNAVAILABLE" and not bad.available()  # noqa: B023
+    assert _code(lambda: bad.embed(["x"])) == "SYSTEM_EMBED_DISABLED"
+
+
+def test_query_vectors(spark):
+    asked = spark.createDataFrame([(1, "a b"), (2, None)], "query_id long, query string")
+    assert [len(r["vector"]) for r in backends.query_vectors(asked, backends.OfflineBackend, "m", "m").collect()] == [16, 16]
+    assert {r["vector"] for r in backends.query_vectors(asked, backends.OfflineBackend, "m", "other").collect()} == {None}
+
+
+def test_url_scan(spark):
+    pages = {"http://a/x": (b"<title>T</title><p>hello", "text/html", "http://a/y"), "http://a/t": ("café".encode("cp1252"), "text/plain; charset=cp1252", "http://a/t")}
+
+    def get(url):
+        if url not in pages:
+            raise EngineError("INGEST_FETCH_FAILED", url)
+        return pages[url]
+
+    urls = spark.createDataFrame([(u,) for u in (*pages, "http://gone")], "url string")
+    got = {r["origin"]: (r["kind"], r["title"], r["text"], r["error"]) for r in files.read_urls(urls, get).collect()}
+    assert got == {
+        "http://a/y": ("url", "T", "hello", None), "http://a/t": ("url", "http://a/t", "café", None), "http://gone": ("url", "http://gone", "", "INGEST_FETCH_FAILED"),
+    }
+    assert _code(lambda: fetch.checked_url("http://[::1")) == "INGEST_URL_BLOCKED"

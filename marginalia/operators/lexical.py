@@ -7,7 +7,9 @@ source_id, notebook_id, context, text). The corpus is read once to find where th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,9 +19,10 @@ from ..lineage import cut
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-#: Distinct phrases of a batch up to which every chunk is scanned for each of them; beyond it, a chunk's
-#: trigrams are joined with the phrases' first ones.
-SCAN_PHRASES = 4000
+#: Distinct terms of a batch that are sent to every task at most; a term is a word, so that is some megabytes.
+BROADCAST_TERMS = 200_000
+#: Runs of letters that a term can be made of, in small letters.
+RUN = f"[a-z0-9_]+|[{X.CJK_WORD}]+"
 _BREAK = "\u0000"
 
 
@@ -41,32 +44,46 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "notebook_id", F.explode(F.array_distinct(F.transform(X.phrases(clean), F.lower))).alias("phrase"))
 
 
-def occurrences(chunks: DataFrame, phrases: DataFrame, scan: int = SCAN_PHRASES) -> DataFrame:
+def _part(n: int) -> Callable[[Column], Column]:
+    return lambda i: F.substring(F.col("run"), i, F.lit(n))
+
+
+def runs_holding(docs: DataFrame, low: str, terms: DataFrame, each: bool, most: int = BROADCAST_TERMS) -> DataFrame:
+    """``docs`` without ``low``, with each ``run`` of its letters and each ``term`` inside, or each place of a term.
+
+    A term is made of word letters or of CJK ones only, so every occurrence lies inside one run of such
+    letters. A run's parts of the terms' lengths are joined to the terms by equality; up to ``most``
+    distinct terms are sent to every task.
+    """
+    distinct = terms.select("term").distinct()
+    sizes = [tuple(r) for r in distinct.select(X.starts_cjk(F.col("term")), F.length("term")).distinct().collect()]  # one row a length
+    keep = [c for c in docs.columns if c != low]
+    runs = docs.select(*keep, F.explode(X.matches(F.col(low), RUN)).alias("run"))
+    none, every = F.array().cast("array<string>"), []
+    for cjk, n in sorted(sizes):
+        fits = (F.length("run") >= n) & (X.starts_cjk(F.col("run")) if cjk else ~X.starts_cjk(F.col("run")))
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - (n - 1), F.lit(1))), _part(n))
+        every.append(F.when(fits, parts if each else F.array_distinct(parts)).otherwise(none))
+    parts = runs.select(*keep, "run", F.explode(F.concat(none, *every)).alias("term"))
+    small = distinct.limit(most + 1).count() <= most
+    return parts.join(F.broadcast(distinct) if small else distinct, "term")
+
+
+def occurrences(chunks: DataFrame, phrases: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """(chunk_id, source_id, notebook_id, dl, phrase, tf) wherever a phrase occurs, overlaps counted."""
-    distinct = phrases.select("phrase").distinct()
-    docs = searchable(chunks)
-    keep = ["chunk_id", "source_id", "notebook_id", "dl", "low"]
-    if distinct.limit(scan + 1).count() <= scan:
-        wanted = distinct.agg(F.sort_array(F.collect_list("phrase")).alias("wanted"))  # size checked above
-        found = docs.select(*keep).crossJoin(F.broadcast(wanted))
-        found = found.select(*keep, F.explode(F.filter("wanted", lambda p: F.col("low").contains(p))).alias("phrase"))
-    else:
-        # postings: only chunks that hold a phrase's first trigram are compared with it
-        first = distinct.select("phrase", F.substring("phrase", 1, 3).alias("gram"))
-        posted = docs.select("chunk_id", F.explode(F.array_distinct(X.grams(F.col("low"), 3))).alias("gram"))
-        pairs = posted.join(first, "gram").select("chunk_id", "phrase")
-        found = pairs.join(docs.select(*keep), "chunk_id").filter(F.col("low").contains(F.col("phrase")))
-    return found.select("chunk_id", "source_id", "notebook_id", "dl", "phrase", X.count_overlapping(F.col("low"), F.col("phrase")).alias("tf"))
-
-
-def bm25_scores(chunks: DataFrame, queries: DataFrame, scan: int = SCAN_PHRASES) -> DataFrame:
+    keep = ["chunk_id", "source_id", "notebook_id", "dl"]
+    met = runs_holding(searchable(chunks).select(*keep, "low"), "low", phrases.select(F.col("phrase").alias("term")), True, most)
+    return met.groupBy(*keep, F.col("term").alias("phrase")).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """(query_id, chunk_id, source_id, bm25) for chunks of the query's notebook that hold a phrase.
 
     Document frequencies and lengths are over all notebooks; only then is the notebook applied.
     Scores are rounded to ten places, so equal texts tie whatever order their sums were taken in.
     """
     asked = query_phrases(queries)
-    found = occurrences(chunks, asked, scan)
+    found = occurrences(chunks, asked, most)
     stats = corpus_stats(chunks)
     n = F.col("n_docs")
     df = F.count(F.lit(1))
@@ -84,8 +101,8 @@ def top(hits: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, scan: int = SCAN_PHRASES) -> DataFrame:
-    return top(bm25_scores(chunks, queries, scan), "bm25", k)
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, most: int = BROADCAST_TERMS) -> DataFrame:
+    return top(bm25_scores(chunks, queries, most), "bm25", k)
 
 
 def substring_scores(chunks: DataFrame, queries: DataFrame, pool: int | None = SUBSTRING_POOL) -> DataFrame:
@@ -93,13 +110,16 @@ def substring_scores(chunks: DataFrame, queries: DataFrame, pool: int | None = S
 
     A pool of the first chunks by id bounds what one query scores; None takes all.
     """
-    asked = queries.select("query_id", "notebook_id", F.transform(X.needles(X.without_negated(F.col("query"))), F.lower).alias("needles"))
+    asked = queries.select("query_id", "notebook_id", F.explode(F.transform(X.needles(X.without_negated(F.col("query"))), F.lower)).alias("term"))
     docs = chunks.select("chunk_id", "source_id", "notebook_id", F.lower("text").alias("low"))
-    found = docs.join(asked, "notebook_id").filter(F.exists("needles", lambda n: F.col("low").contains(n)))
+    met = runs_holding(docs, "low", asked, False)
+    apart = (F.length("run") - F.length(F.replace("run", F.col("term"), F.lit("")))) / F.length("term")
+    counted = met.groupBy("chunk_id", "source_id", "notebook_id", "term").agg(F.sum(apart).alias("m"))
+    found = counted.join(asked, ["term", "notebook_id"]).groupBy("query_id", "chunk_id", "source_id").agg(F.sum("m").alias("bm25"))
     if pool is not None:
-        order = Window.partitionBy("query_id").orderBy("chunk_id")
-        found = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pool)
-    return found.select("query_id", "chunk_id", "source_id", needle_count("low", "needles").alias("bm25")).filter("bm25 > 0")
+        order = Window.partitionBy("query_id").orderBy("chunk_id")  # a limit of the fallback's contract; None is exact
+        found = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pool).drop("_n")
+    return found
 
 
 def needle_count(low: str, needles: str):
@@ -114,21 +134,23 @@ def drop_excluded(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> Dat
     return hits.join(bad, ["query_id", "chunk_id"], "left_anti")
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, pool: int | None = SUBSTRING_POOL) -> DataFrame:
     """(query_id, chunk_id, source_id, bm25, rank): BM25, merged with or replaced by the substring scan.
 
     BM25 alone answers a query if it found something and no term is below three letters; else counts of
     the needles are added to its hits, and chunks that only the scan found follow. Excluded terms are
-    applied after the cut where BM25 answers alone, before it where both do, as the contract has it.
+    applied after the cut where BM25 answers alone, before it where both do, as the contract has it. The scan
+    scores ``pool`` chunks a query, the first by id, or ten times ``k`` if that is more; None scores all.
     """
+    most = None if pool is None else max(10 * k, pool)
     full = cut(bm25_top(chunks, queries, k).withColumn("first", F.lit(0)))  # k rows a query, read several times below
     terms = X.query_terms(X.without_negated(F.col("query")))
     asked = queries.join(full.select("query_id").distinct().withColumn("found", F.lit(True)), "query_id", "left")
     asked = asked.withColumns({"short": F.exists(terms, lambda t: F.length(t) < 3), "found": F.coalesce("found", F.lit(False))})
     needs = asked.filter((~F.col("found") | F.col("short")) & (F.size(X.needles(X.without_negated(F.col("query")))) > 0))
     alone = full.join(needs.select("query_id"), "query_id", "left_anti").select("query_id", "chunk_id", "source_id", "bm25", "rank")
-    scanned = substring_scores(chunks, needs.select("query_id", "notebook_id", "query"), max(10 * k, SUBSTRING_POOL))
-    scanned = top(scanned, "bm25", max(10 * k, SUBSTRING_POOL)).withColumn("first", F.lit(1))
+    scanned = substring_scores(chunks, needs.select("query_id", "notebook_id", "query"), most)
+    scanned = top(scanned, "bm25", most or (1 << 31) - 1).withColumn("first", F.lit(1))
     both = full.join(needs.select("query_id", F.transform(X.needles(X.without_negated(F.col("query"))), F.lower).alias("needles")), "query_id")
     both = both.join(chunks.select("chunk_id", F.lower("text").alias("low")), "chunk_id")
     both = both.withColumn("bm25", F.col("bm25") + needle_count("low", "needles")).drop("low", "needles")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..limits import TOP_K
+from ..limits import SUBSTRING_POOL, TOP_K
 from ..lineage import cut
 from .fusion import minmax, mmr, ranked_lists, rerank, rrf
 from .lexical import drop_excluded, lexical_search
@@ -32,15 +32,18 @@ def finish(lists: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> D
     return chosen.select("query_id", "rank", "chunk_id", "source_id", "score", "bm25", "vec", "text", "context", "detail")
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Ranked hits of each query (query_id, notebook_id, query, vector); a null vector means lexical only."""
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, scanned: int | None = SUBSTRING_POOL) -> DataFrame:
+    """Ranked hits of each query (query_id, notebook_id, query, vector); a null vector means lexical only.
+
+    ``scanned`` bounds the chunks that the substring scan scores for a query; None takes all.
+    """
     pool = pool_size(k)
-    lexical = lexical_search(chunks, queries, pool)
+    lexical = lexical_search(chunks, queries, pool, scanned)
     vectors = _again(drop_excluded(vector_search(chunks, queries, pool), chunks, queries))
     return finish(ranked_lists(lexical, vectors), chunks, queries, k)
 
 
-def retrieve_multi(chunks: DataFrame, phrasings: DataFrame, k: int = TOP_K) -> DataFrame:
+def retrieve_multi(chunks: DataFrame, phrasings: DataFrame, k: int = TOP_K, scanned: int | None = SUBSTRING_POOL) -> DataFrame:
     """Several phrasings of a question, fused: (query_id, phrasing, notebook_id, query, vector).
 
     Phrasing 0 is the question itself: its exclusions hold for all lists and it alone is the reference
@@ -60,5 +63,5 @@ def retrieve_multi(chunks: DataFrame, phrasings: DataFrame, k: int = TOP_K) -> D
         other = F.lit(0.0).alias("vec" if value == "bm25" else "bm25")
         return kept.select("query_id", (2 * F.col("phrasing") + at).alias("list"), F.row_number().over(order).alias("rank"), "chunk_id", "source_id", value, other)
 
-    lists = of_question(lexical_search(chunks, asked, pool), "bm25", 0).unionByName(of_question(vector_search(chunks, asked, pool), "vec", 1))
+    lists = of_question(lexical_search(chunks, asked, pool, scanned), "bm25", 0).unionByName(of_question(vector_search(chunks, asked, pool), "vec", 1))
     return finish(lists, chunks, first, k)

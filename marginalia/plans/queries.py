@@ -74,15 +74,16 @@ _WORDS = """
 words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark),
 longest AS (SELECT item_id AS query_id, w AS query, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w) AS n FROM words)"""
 _KEYWORDS = _WORDS + ",\nasked AS (SELECT query_id, query FROM longest WHERE n = 1)"
-_PHRASES = _WORDS + ",\nphrases AS (SELECT DISTINCT query_id, lower(query) AS p FROM longest WHERE n <= 5 AND length(query) >= 3)"
-_KEYWORD_PHRASES = _KEYWORDS + ",\nphrases AS (SELECT query_id, lower(query) AS p FROM asked WHERE length(query) >= 3)"
-#: Overlapping occurrences differ from plain ones only for words with a border, an end equal to a beginning.
+_PHRASES = _WORDS + ",\nphrases AS (SELECT DISTINCT item_id AS query_id, lower(w) AS p FROM words WHERE length(w) >= 3)"
+#: A phrase of word letters occurs inside words only. Overlapping occurrences differ from plain ones only for phrases with a border, an end equal to a beginning.
 _BM25 = """,
 docs AS (SELECT doc_id, lower(text) AS low, greatest(length(text) - 2, 0) AS dl FROM documents),
 stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs),
 distinct_phrases AS (SELECT p, len(list_filter(range(1, length(p)), lambda i: left(p, i) = right(p, i))) > 0 AS bordered FROM (SELECT DISTINCT p FROM phrases)),
-occurs AS (SELECT doc_id, dl, p, CASE WHEN bordered THEN len(list_filter(range(1, length(low) - length(p) + 2), lambda i: substr(low, i, length(p)) = p))
-                                      ELSE len(string_split(low, p)) - 1 END AS tf FROM docs JOIN distinct_phrases ON contains(low, p)),
+doc_words AS (SELECT doc_id, dl, w, count(*) AS c FROM (SELECT doc_id, dl, unnest(regexp_extract_all(low, '[a-z0-9_]+')) AS w FROM docs) GROUP BY ALL),
+inside AS (SELECT w, p, CASE WHEN bordered THEN len(list_filter(range(1, length(w) - length(p) + 2), lambda i: substr(w, i, length(p)) = p)) ELSE len(string_split(w, p)) - 1 END AS m
+           FROM (SELECT DISTINCT w FROM doc_words) JOIN distinct_phrases ON contains(w, p)),
+occurs AS (SELECT doc_id, dl, p, sum(c * m) AS tf FROM doc_words JOIN inside USING (w) GROUP BY ALL),
 freq AS (SELECT p, count(*) AS df FROM occurs GROUP BY p),
 idf AS (SELECT p, avgdl, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM freq, stats),
 scored AS (SELECT query_id, doc_id AS chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 10) AS bm25
@@ -107,9 +108,10 @@ def bm25_topk(spark, sf_dir):
     return lexical.bm25_top(chunks_of(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "chunk_id", F.col("rank").cast("long"), rounded("bm25"))
 
 
-@query(f"WITH {_KEYWORD_PHRASES}{_BM25} SELECT query_id, chunk_id, rank, round(bm25, 6) AS bm25 FROM ranked WHERE rank <= 8")
+@query(f"WITH {_PHRASES}{_BM25} SELECT query_id, chunk_id, rank, round(bm25, 6) AS bm25 FROM ranked WHERE rank <= 8")
 def bm25_postings(spark, sf_dir):
-    found = lexical.bm25_top(chunks_of(spark, sf_dir), questions(spark, sf_dir), scan=0)
+    """As ``bm25_topk`` where the phrases are too many to be sent to every task."""
+    found = lexical.bm25_top(chunks_of(spark, sf_dir), questions(spark, sf_dir), most=0)
     return found.select("query_id", "chunk_id", F.col("rank").cast("long"), rounded("bm25"))
 
 
@@ -128,9 +130,13 @@ def bm25_scoped(spark, sf_dir):
     return found.select(F.col("query_id.notebook_id").alias("notebook"), F.col("query_id.query_id").alias("query_id"), "chunk_id", F.col("rank").cast("long"), rounded("bm25"))
 
 
-@query(f"""WITH {_KEYWORDS}
-SELECT query_id, doc_id AS chunk_id, CAST(len(string_split(lower(text), lower(query))) - 1 AS DOUBLE) AS score
-FROM documents JOIN asked ON contains(lower(text), lower(query)) WHERE length(query) >= 2""")
+_NEEDLES = """
+needles AS (SELECT item_id AS query_id, lower(w) AS needle FROM words WHERE length(w) >= 2),
+holding AS (SELECT doc_id, needle, len(string_split(low, needle)) - 1 AS m FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN (SELECT DISTINCT needle FROM needles) ON contains(low, needle)),
+scanned AS (SELECT query_id, doc_id AS chunk_id, CAST(sum(m) AS DOUBLE) AS score FROM holding JOIN needles USING (needle) GROUP BY ALL)"""
+
+
+@query(f"WITH {_WORDS},{_NEEDLES} SELECT query_id, chunk_id, score FROM scanned")
 def like_fallback(spark, sf_dir):
     found = lexical.substring_scores(chunks_of(spark, sf_dir), questions(spark, sf_dir), None)
     return found.select("query_id", "chunk_id", F.col("bm25").alias("score"))
@@ -146,7 +152,15 @@ def neg_filter(spark, sf_dir):
     return lexical.drop_excluded(every, chunks, asked).select("query_id", "chunk_id")
 
 
-@query()
+@query(f"""WITH {_PHRASES}{_BM25},{_NEEDLES},
+answered AS (SELECT * FROM ranked WHERE rank <= {POOL}),
+needing AS (SELECT item_id AS query_id FROM benchmark WHERE (item_id NOT IN (SELECT query_id FROM answered) OR item_id IN (SELECT item_id FROM words WHERE length(w) < 3)) AND item_id IN (SELECT query_id FROM needles)),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS k FROM scanned) WHERE k <= 2000),
+joined AS (SELECT query_id, chunk_id, bm25 + coalesce(score, 0) AS bm25, 0 AS later, rank AS was FROM answered LEFT JOIN scanned USING (query_id, chunk_id) WHERE query_id IN (SELECT query_id FROM needing)
+         UNION ALL SELECT query_id, chunk_id, score, 1, 0 FROM pool ANTI JOIN answered USING (query_id, chunk_id) WHERE query_id IN (SELECT query_id FROM needing)),
+merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, later, was, chunk_id) AS rank FROM joined)
+SELECT query_id, chunk_id, rank, round(bm25, 6) AS bm25 FROM merged WHERE rank <= {POOL}
+UNION ALL SELECT query_id, chunk_id, rank, round(bm25, 6) FROM answered WHERE query_id NOT IN (SELECT query_id FROM needing)""")
 def lexical_search(spark, sf_dir):
     found = lexical.lexical_search(chunks_of(spark, sf_dir), questions(spark, sf_dir), POOL)
     return found.select("query_id", "chunk_id", F.col("rank").cast("long"), rounded("bm25"))
@@ -187,7 +201,8 @@ def kana_alt(spark, sf_dir):
     return rows.select("term", X.kana_swap(F.col("term")).alias("swapped"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) < 2 THEN 0 ELSE len(list_distinct(list_transform(range(1, least(length(text), 600)), lambda i: substr(lower(left(text, 600)), i, 2)))) END AS n_bigrams FROM documents""")
+@query("""WITH c AS (SELECT doc_id, string_split(lower(text), '') AS c FROM documents)
+SELECT doc_id, CASE WHEN len(c) < 2 THEN 0 ELSE len(list_distinct(list_transform(list_zip(c[:-2], c[2:]), lambda x: x[1] || x[2]))) END AS n_bigrams FROM c""")
 def char_bigrams(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.bigram_set(F.lower("text"))).cast("long").alias("n_bigrams"))
 
@@ -255,7 +270,7 @@ def convex_fusion(spark, sf_dir):
 
 
 @query(f"""WITH {_PHRASES}{_BM25}, pool AS (SELECT query_id, chunk_id, {_MINMAX.format('bm25')} AS s FROM ranked WHERE rank <= {POOL} WINDOW w AS (PARTITION BY query_id)),
-terms AS (SELECT query_id, query AS w FROM longest WHERE n <= 5),
+terms AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark),
 lex AS (SELECT query_id, chunk_id, s, avg((len(string_split(low, lower(w))) - 1)::DOUBLE / len(string_split(low, lower(w)))) AS l FROM pool JOIN terms USING (query_id) JOIN docs ON doc_id = chunk_id GROUP BY query_id, chunk_id, s)
 SELECT query_id, chunk_id, round(0.7 * s + 0.3 * l, 6) AS score FROM lex""")
 def lexical_rerank(spark, sf_dir):

@@ -49,7 +49,7 @@ def test_bm25_is_that_of_fts5(spark):
     db.execute("CREATE VIRTUAL TABLE t USING fts5(context, text, tokenize='trigram')")
     db.executemany("INSERT INTO t(rowid, context, text) VALUES (?, ?, ?)", [(r[0] + 1, r[3], r[4]) for r in rows])
     want = {r - 1: -s for r, s in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH '\"fox\" OR \"running\"'")}
-    for scan in (lexical.SCAN_PHRASES, 0):
+    for scan in (lexical.BROADCAST_TERMS, 0):
         got = {r["chunk_id"]: r["bm25"] for r in lexical.bm25_scores(df, asked(spark, "fox running"), scan).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-8) for i in want)
 

@@ -319,6 +319,8 @@ class JaccardJoin:
             sets = [np.frombuffer(b, np.uint64) for b in group["set"].to_pylist()]
             query = sets[int(np.flatnonzero(centre)[0])]
             others = np.flatnonzero(~centre)
+            if not len(others):  # a part of a large group may get no member
+                return pa.table({"c": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "linked": pa.array([], pa.bool_())})
             both = np.array([len(sets[i]) for i in others]) + len(query)
             found = divide_skip(query, [sets[i] for i in others], overlap(both, near))
             hit = found >= 0

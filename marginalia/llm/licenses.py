@@ -14,12 +14,14 @@ that together hit every template shingle are cut at all; neither can lose a matc
 
 Defined cases: null and empty texts match nothing; a template or text below five words is one shingle;
 texts of any length are read whole; repeated rows match each; an empty table gives no rows; other
-columns are not read. Templates are bounded (``MOST_TEMPLATE_SHINGLES``), so their bands are broadcast.
+columns are not read; equal shares go to the first window. Templates are a list that the driver holds;
+each pass looks for a bounded number of them (``MOST_TEMPLATE_SHINGLES``), so their bands are broadcast.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 WORDS = 5
 BANDS = 32
 CONTAINMENT = 0.8
+#: Template shingles that one pass over the documents looks for; more take further passes.
 MOST_TEMPLATE_SHINGLES = 20_000
 
 COMMON = frozenset("a an and any are as at be by for in is it not of on or that the this to under use with work you".split())
@@ -88,6 +91,18 @@ def hitting_words(texts: list[str]) -> list[str]:
     return chosen
 
 
+def template_groups(sizes: dict[int, int]) -> list[list[int]]:
+    """Template ids in groups of ``MOST_TEMPLATE_SHINGLES`` at most, or one template that alone has more."""
+    groups, held = [[]], 0
+    for key, n in sorted(sizes.items()):
+        if groups[-1] and held + n > MOST_TEMPLATE_SHINGLES:
+            groups.append([])
+            held = 0
+        groups[-1].append(key)
+        held += n
+    return groups
+
+
 def scan(
     docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -96,10 +111,12 @@ def scan(
         templates = notices(docs.sparkSession)
     known = templates.select("template_id", "license", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     known = known.withColumn("t", F.array_distinct(shingles("w"))).withColumn("size", window_size(F.size("t")))
-    bounded = known.select("t", "size", F.array_join("w", " ").alias("words")).collect()  # templates, not documents
+    bounded = known.select("template_id", "t", "size", F.array_join("w", " ").alias("words")).collect()  # templates, not documents
+    groups = template_groups({r["template_id"]: len(r["t"]) for r in bounded})
+    if len(groups) > 1:
+        some = [scan(docs, templates.filter(F.col("template_id").isin(group)), containment, id_col, text_col) for group in groups]
+        return reduce(DataFrame.unionByName, some)
     held = sorted({x for r in bounded for x in r["t"]})
-    if len(held) > MOST_TEMPLATE_SHINGLES:
-        raise ValueError(f"templates may hold {MOST_TEMPLATE_SHINGLES} shingles; they hold {len(held)}")
     if not held:
         return docs.select(F.col(id_col), F.lit(0).alias("template_id"), F.lit("").alias("license"), F.lit(0).alias("start_word"), F.lit(0.0).alias("containment")).limit(0)
     sizes = sorted({r["size"] for r in bounded})

@@ -11,8 +11,8 @@ anchor occurs once are unique and go no further; equal passages are settled by t
 that share an anchor and differ are cut against each other, by the suffix automaton of the earlier ones:
 a document's passage is streamed for its matching statistics, and maximal spans at or above ``length``
 are removed. An anchor with very many different passages is split into its single runs, which are equal
-or not by hash, so no shard grows with the corpus. ``against_reference`` is the plain form, for a
-bounded reference that is broadcast.
+or not by hash, so no shard grows with the corpus. ``against_reference`` is the plain form: shards
+of a reference are broadcast one by one.
 
 Defined cases: a null text has no words and becomes empty; texts below ``length`` words keep all;
 repeated rows (one id twice) count as one document read in any order, so ids should be unique; an empty
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ from .shared import Scratch, fits, shuffle_width
 GRAM = 10
 #: Different passages of one anchor up to which one automaton holds them.
 HOT_ANCHOR = 20_000
-#: Words of reference that one broadcast automaton may hold.
+#: Words of reference that one broadcast automaton holds at most.
 REFERENCE_WORDS = 2_000_000
 
 
@@ -154,17 +155,18 @@ def _ids(batch: pa.RecordBatch, row: int, n: int) -> np.ndarray:
 
 
 class SubstringDedup:
-    """``carry`` names further columns to return; ``spacing`` keeps the white space of texts that lose no word."""
+    """``carry`` names further columns to return, ``names`` those made here; ``spacing`` keeps the white space of texts that lose no word."""
 
     def __init__(
-        self, docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), spacing: bool = False
-    ):
+        self, docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), spacing: bool = False,
+        names: tuple[str, str, str] = ("n_words", "n_removed", "kept"),
+    ):
         if length < GRAM:
             raise ValueError(f"length must be {GRAM} words at least")
         own = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
         self.docs = docs.select(*own)
         self.whole = docs.select(*own, *(F.col(c).alias(f"_carry_{c}") for c in carry))
-        self.length, self.id_col, self.carry, self.spacing = length, id_col, carry, spacing
+        self.length, self.id_col, self.carry, self.spacing, self.names = length, id_col, carry, spacing, names
         self.scratch = Scratch(docs.sparkSession, "substrings")
 
     def _joined(self, docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
@@ -262,10 +264,7 @@ class SubstringDedup:
         place = first.select("anchor", "hash", F.struct("id", "low").alias("f"))
         equal = filed.join(place, ["anchor", "hash"]).filter(F.struct("id", "low") != F.col("f")).select("id", "low", (F.col("low") + F.col("n")).alias("high"))
         found = equal.unionByName(self.cut_shards(first.select("anchor", "id", "low", "n")))
-        by_start = Window.partitionBy("id").orderBy("low", "high")
-        reach = F.max("high").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-        island = found.withColumn("_new", F.when(reach >= F.col("low"), 0).otherwise(1)).withColumn("_k", F.sum("_new").over(by_start))
-        merged = island.groupBy("id", "_k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        merged = joined_spans(found)
         return scratch.save(merged.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
 
     def run(self) -> DataFrame:
@@ -304,7 +303,8 @@ class SubstringDedup:
         for c in carried:
             schema.add(joined.schema[c])
         stripped = joined.mapInArrow(strip, schema)
-        return stripped.withColumnsRenamed({"id": self.id_col, **dict(zip(carried, self.carry))})
+        own = zip(("id", "n_words", "n_removed", "kept"), (self.id_col, *self.names))
+        return stripped.select(*(F.col(a).alias(b) for a, b in own), *(F.col(a).alias(b) for a, b in zip(carried, self.carry)))
 
 
 def keep_words(texts: bytewise.Texts, keep: np.ndarray, as_is: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,22 +324,41 @@ def keep_words(texts: bytewise.Texts, keep: np.ndarray, as_is: np.ndarray) -> tu
     return data[mask], np.concatenate(([0], np.cumsum(mask)))[texts.offsets]
 
 
+def reference_shards(reference: list[str], length: int) -> Iterator[SuffixAutomaton]:
+    """Automata of ``REFERENCE_WORDS`` words at most; longer texts go in parts that share ``length - 1`` words."""
+    automaton, held = SuffixAutomaton(), 0
+    for _, texts in bytewise.slices(pa.array(reference, pa.string())):
+        words = texts.words().tolist()
+        for low, high in zip(texts.word_offsets[:-1].tolist(), texts.word_offsets[1:].tolist()):
+            while high - low >= length:
+                part = min(high - low, REFERENCE_WORDS)
+                if held and held + part > REFERENCE_WORDS:
+                    yield automaton
+                    automaton, held = SuffixAutomaton(), 0
+                automaton.add(words[low : low + part])
+                held += part
+                low = low + part if low + part == high else low + part - (length - 1)
+    if held:
+        yield automaton
+
+
 def against_reference(docs: DataFrame, reference: list[str], length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, low, high): maximal word spans of ``length`` or more that a bounded reference also holds.
+    """(id, low, high): maximal word spans of ``length`` or more that a reference also holds.
 
-    The reference's automaton is broadcast; documents are streamed past it.
+    The reference's automata are broadcast shard by shard; documents are streamed past each for their
+    matching statistics, and the spans that shards find are joined.
     """
-    column = pa.array(reference, pa.string())
-    automaton, held = SuffixAutomaton(), 0
-    for _, texts in bytewise.slices(column):
-        words = texts.words().tolist()
-        held += len(words)
-        if held > REFERENCE_WORDS:
-            raise ValueError(f"a broadcast reference may hold {REFERENCE_WORDS} words")
-        for low, high in zip(texts.word_offsets[:-1], texts.word_offsets[1:]):
-            automaton.add(words[low:high])
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
+    context, found = docs.sparkSession.sparkContext, None
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    for automaton in reference_shards(reference, length):
+        shard = rows.mapInArrow(_streamed(context.broadcast(automaton), length), "id long, low long, high long")
+        found = shard if found is None else found.unionByName(shard)
+    if found is None:
+        found = rows.select("id", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")).limit(0)
+    return joined_spans(found).withColumnRenamed("id", id_col)
+
 
+def _streamed(sent: Broadcast, length: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -350,5 +369,12 @@ def against_reference(docs: DataFrame, reference: list[str], length: int = 50, i
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "low", "high"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(stream, "id long, low long, high long")
-    return found.withColumnRenamed("id", id_col)
+    return stream
+
+
+def joined_spans(found: DataFrame) -> DataFrame:
+    """Spans (id, low, high) that overlap or meet, as one."""
+    by_start = Window.partitionBy("id").orderBy("low", "high")
+    reach = F.max("high").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    island = found.withColumn("_new", F.when(reach >= F.col("low"), 0).otherwise(1)).withColumn("_k", F.sum("_new").over(by_start))
+    return island.groupBy("id", "_k").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_k")

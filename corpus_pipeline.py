@@ -55,8 +55,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     share an id are read as one document; an empty table stays empty.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = substrings.SubstringDedup(docs, PASSAGE_WORDS, carry=others, spacing=True).run()
-    left = found.filter("n_words > n_removed OR n_words = 0").withColumnRenamed("kept", "text")
+    own = tuple(fresh(docs.columns, c) for c in ("n_words", "n_removed", "kept"))
+    found = substrings.SubstringDedup(docs, PASSAGE_WORDS, carry=others, spacing=True, names=own).run()
+    n_words, n_removed, kept = map(F.col, own)
+    left = found.filter((n_words > n_removed) | (n_words == 0)).withColumn("text", kept)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -1,4 +1,4 @@
-"""Cutting long plans in the folder that all nodes share."""
+"""Cutting long plans in the folder that all nodes share, and spreading small tables over all cores."""
 
 from __future__ import annotations
 
@@ -20,3 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
             folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")  # a single machine's own
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as it is, or dealt over all cores where it comes in fewer pieces than those."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..limits import CHUNK_OVERLAP, CHUNK_TOKENS, MAX_CONTEXT_CHARS
+from ..lineage import spread
 
 HEADING = re.compile(r"(#{1,6})\s")
 # fixed values: a heading's closing marks need white space before them, so "C#" stays
@@ -60,27 +61,33 @@ def windows(part: str, limit: int) -> list[str]:
 
 def fitted(block: str, limit: int) -> list[str]:
     """An oversize block as parts: whole sentences while they fit, windows of what doesn't."""
-    parts = [""]
+    parts, spent = [""], 0
     for sentence in SENTENCE.split(block):
-        if parts[-1] and K.estimate(parts[-1] + sentence) > limit:
+        cost = K.estimate(sentence)  # no word goes on behind a sentence's end, so costs add up
+        if parts[-1] and spent + cost > limit:
             parts.append("")
+            spent = 0
         parts[-1] += sentence
+        spent += cost
     return [w.strip() for p in parts for w in windows(p, limit) if w.strip()]
 
 
 def chunk(text: str, limit: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> list[tuple[str, str]]:
     """(context, chunk) in order. A chunk opens with the end of the one before it."""
     out: list[tuple[str, str]] = []
-    context, held = "", ""
+    context, held, spent = "", "", 0
     for crumb, block in blocks(text):
-        for piece in fitted(block, limit) if K.estimate(block) > limit else [block]:
-            longer = f"{held}\n\n{piece}" if held else piece
-            if held and K.estimate(longer) > limit:
+        whole = K.estimate(block)
+        for piece in fitted(block, limit) if whole > limit else [block]:
+            cost = K.estimate(piece) if whole > limit else whole
+            if held and spent + cost > limit:
                 out.append((context, held))
-                end = K.tail(held, overlap)
-                context, held = crumb, f"{end}\n\n{piece}" if end else piece
-            else:
-                context, held = context if held else crumb, longer
+                held = K.tail(held, overlap)
+                context, spent = crumb, K.estimate(held)
+            elif not held:
+                context = crumb
+            held = f"{held}\n\n{piece}" if held else piece
+            spent += cost
     out.append((context, held))
     return [(c[:MAX_CONTEXT_CHARS], t.strip()) for c, t in out if t.strip()]
 
@@ -98,7 +105,7 @@ def chunk_sources(sources: DataFrame, limit: int = CHUNK_TOKENS, overlap: int =
             yield pd.DataFrame(rows, columns=["source_id", "title", "seq", "crumb", "text"])
 
     kind = sources.schema["source_id"].dataType.simpleString()
-    pieces = sources.select("source_id", "title", "text").mapInPandas(cut, f"source_id {kind}, title string, seq int, crumb string, text string")
+    pieces = spread(sources.select("source_id", "title", "text")).mapInPandas(cut, f"source_id {kind}, title string, seq int, crumb string, text string")
     return pieces.select("source_id", "seq", chunk_context(F.col("title"), F.col("crumb")).alias("context"), "text")
 
 

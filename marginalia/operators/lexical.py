@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..limits import SUBSTRING_POOL, TOP_K
-from ..lineage import cut
+from ..lineage import cut, spread
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -58,7 +58,7 @@ def runs_holding(docs: DataFrame, low: str, terms: DataFrame, each: bool, most:
     distinct = terms.select("term").distinct()
     sizes = [tuple(r) for r in distinct.select(X.starts_cjk(F.col("term")), F.length("term")).distinct().collect()]  # one row a length
     keep = [c for c in docs.columns if c != low]
-    runs = docs.select(*keep, F.explode(X.matches(F.col(low), RUN)).alias("run"))
+    runs = spread(docs).select(*keep, F.explode(X.matches(F.col(low), RUN)).alias("run"))
     none, every = F.array().cast("array<string>"), []
     for cjk, n in sorted(sizes):
         fits = (F.length("run") >= n) & (X.starts_cjk(F.col("run")) if cjk else ~X.starts_cjk(F.col("run")))
@@ -86,7 +86,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, most: int = BROADCAST_TER
     found = occurrences(chunks, asked, most)
     stats = corpus_stats(chunks)
     n = F.col("n_docs")
-    df = F.count(F.lit(1))
+    df = F.sum((F.col("tf") > 0).cast("long"))  # reads tf, so that the scan below is the same exchange
     idf = found.groupBy("phrase").agg(df.alias("df")).crossJoin(F.broadcast(stats))  # one row of statistics
     value = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = idf.select("phrase", "avgdl", F.when(value <= 0, F.lit(LEAST_IDF)).otherwise(value).alias("idf"))

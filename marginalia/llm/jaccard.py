@@ -215,7 +215,7 @@ class JaccardJoin:
             if len(blocks):
                 yield count_blocks(names, blocks, counts)
 
-        return self.docs.mapInArrow(summarise, ", ".join(f"{name} long" for name in names[:-2]) + ", block int, counts binary")
+        return self.docs.mapInArrow(bytewise.tidied(summarise), ", ".join(f"{name} long" for name in names[:-2]) + ", block int, counts binary")
 
     def counts(self, summary: DataFrame) -> ShingleCounts:
         """The counts of all tasks, summed in steps; the driver receives the table's fixed size."""
@@ -267,7 +267,7 @@ class JaccardJoin:
                     for at in range(0, len(key), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (key, one, cut)], ["key", "one", "cut"])
 
-        posted = self.docs.select("text").mapInArrow(post, "key long, one long, cut int")
+        posted = self.docs.select("text").mapInArrow(bytewise.tidied(post), "key long, one long, cut int")
         by_key = Window.partitionBy("key")
         met = posted.withColumns({"_a": F.min("one").over(by_key), "_b": F.max("one").over(by_key)}).filter("_a <> _b OR cut <> 0")
         return met.select("key", "one", "cut").distinct()
@@ -328,7 +328,7 @@ class JaccardJoin:
             linked = found[hit] >= overlap(both[hit], percent)
             return pa.table({"c": pa.array(np.repeat(np.array(group["c"])[:1], len(ids))), "id": pa.array(ids), "linked": pa.array(linked)})
 
-        sent = routed.select("id", "text", "routes", "one").mapInArrow(send, "c long, part long, centre boolean, id long, set binary")
+        sent = routed.select("id", "text", "routes", "one").mapInArrow(bytewise.tidied(send), "c long, part long, centre boolean, id long, set binary")
         found = self.scratch.save(sent.groupBy("c", "part").applyInArrow(count, "c long, id long, linked boolean"), name)
         self.scratch.drop(f"{name}-routes")
         return found, pairs

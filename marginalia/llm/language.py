@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import bytewise
 from .shared import fresh
 
 DEPTH = 400
@@ -130,7 +131,7 @@ def fit(
                 ["lang", "gram", "n"],
             )
 
-    totals = learned.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = learned.mapInArrow(bytewise.tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = totals.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= depth)
     by_language: dict[str, list[tuple[int, int]]] = {}
@@ -153,7 +154,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", names:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*others, *names])
 
     schema = docs.select(*others).schema.add(names[0], "string").add(names[1], "double")
-    return docs.select(F.col(text_col).alias(fresh(others, "_text")), *others).mapInArrow(predict, schema)
+    return docs.select(F.col(text_col).alias(fresh(others, "_text")), *others).mapInArrow(bytewise.tidied(predict), schema)
 
 
 def held_out(id_col: Column) -> Column:

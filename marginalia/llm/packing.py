@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytewise
+
 CAPACITY = 4096
 BLOCK = 1024
 QUADRATIC = 1 / 2048
@@ -275,5 +277,5 @@ def pack(
             yield from packer.close()
 
     schema = f"_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long"
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(packed, schema)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(bytewise.tidied(packed), schema)
     return rows.withColumnRenamed("_id", id_col)

@@ -188,7 +188,7 @@ class SubstringDedup:
                         columns = (anchor.view(np.int64), hashes.view(np.int64), ids, own, (high - low).astype(np.int32))
                         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["anchor", "hash", "id", "low", "n"])
 
-        return self.docs.mapInArrow(find, "anchor long, hash long, id long, low long, n int")
+        return self.docs.mapInArrow(bytewise.tidied(find), "anchor long, hash long, id long, low long, n int")
 
     def repeated_anchors(self) -> DataFrame:
         """Anchors that occur twice or more, in one document or several; counted over all documents."""
@@ -202,7 +202,7 @@ class SubstringDedup:
                     for at in range(0, len(values), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)[at : at + (1 << 16)]), pa.array(counts[at : at + (1 << 16)])], ["anchor", "n"])
 
-        counted = self.docs.mapInArrow(find, "anchor long, n long")
+        counted = self.docs.mapInArrow(bytewise.tidied(find), "anchor long, n long")
         return counted.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
     def cut_shards(self, first: DataFrame) -> DataFrame:
@@ -243,10 +243,10 @@ class SubstringDedup:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "low", "high"])
 
-        sent = self._joined(self.docs, routes, "inner").select("id", "text", "routes").mapInArrow(send, "anchor long, id long, low long, words binary")
+        sent = self._joined(self.docs, routes, "inner").select("id", "text", "routes").mapInArrow(bytewise.tidied(send), "anchor long, id long, low long, words binary")
         sent = scratch.save(sent, "shards")
         filed = sent.filter("words IS NOT NULL").repartition(shuffle_width(sent.sparkSession), "anchor").sortWithinPartitions("anchor", "id", "low")
-        cut = filed.mapInArrow(stream, "id long, low long, high long")
+        cut = filed.mapInArrow(bytewise.tidied(stream), "id long, low long, high long")
         single = sent.filter("words IS NULL").select("anchor", "id", "low")
         earliest = single.groupBy("anchor").agg(F.min(F.struct("id", "low")).alias("f"))
         later = single.join(earliest, "anchor").filter(F.struct("id", "low") != F.col("f")).select("id", "low", (F.col("low") + length).alias("high"))
@@ -302,7 +302,7 @@ class SubstringDedup:
         schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept string")
         for c in carried:
             schema.add(joined.schema[c])
-        stripped = joined.mapInArrow(strip, schema)
+        stripped = joined.mapInArrow(bytewise.tidied(strip), schema)
         own = zip(("id", "n_words", "n_removed", "kept"), (self.id_col, *self.names))
         return stripped.select(*(F.col(a).alias(b) for a, b in own), *(F.col(a).alias(b) for a, b in zip(carried, self.carry)))
 

@@ -219,3 +219,13 @@ def test_slices_do_not_change_results():
     (whole,) = (quality.measure(x) for _, x in bytewise.slices(column, 1 << 30))
     for k in quality.MEASURES:
         assert np.concatenate([s[k] for s in small]).tolist() == whole[k].tolist()
+
+
+def test_tidied_yields_the_same_and_gives_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(bytewise, "give_back", lambda: given.append(True))
+    assert list(bytewise.tidied(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and given == [True]
+
+
+def test_give_back_runs_here():
+    bytewise.give_back()

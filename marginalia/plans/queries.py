@@ -280,7 +280,30 @@ def lexical_rerank(spark, sf_dir):
     return fusion.rerank(hits).select("query_id", "chunk_id", rounded("score"))
 
 
-@query()
+def _mmr(pool: str, k: int = 8) -> str:
+    """CTEs ``chosen_1`` to ``chosen_k`` (query_id, chunk_id, was, score) from ``pool`` (query_id, chunk_id, was, score): each step takes the best of what is left."""
+    parts = [f"""
+small AS (SELECT doc_id AS chunk_id, string_split(lower(left(text, 600)), '') AS c FROM documents WHERE doc_id IN (SELECT chunk_id FROM {pool})),
+grams AS (SELECT chunk_id, CASE WHEN len(c) < 2 THEN [] ELSE list_distinct(list_transform(list_zip(c[:-2], c[2:]), lambda x: x[1] || x[2])) END AS g FROM small),
+pairs AS (SELECT DISTINCT a.chunk_id AS a, b.chunk_id AS b FROM {pool} a JOIN {pool} b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id),
+common AS (SELECT a, b, len(list_intersect(x.g, y.g)) AS shared, len(x.g) + len(y.g) AS n FROM pairs JOIN grams x ON x.chunk_id = a JOIN grams y ON y.chunk_id = b),
+alike AS (SELECT a, b, shared::DOUBLE / (n - shared) AS likeness FROM common WHERE shared > 0),
+left_1 AS (SELECT query_id, chunk_id, was, score, 0.0::DOUBLE AS worst FROM {pool})"""]
+    for i in range(1, k + 1):
+        parts.append(f"""
+chosen_{i} AS (SELECT query_id, chunk_id, was, score FROM left_{i} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 0.7::DOUBLE * score - (1 - 0.7::DOUBLE) * worst DESC, was) = 1)""")
+        if i < k:
+            parts.append(f"""
+left_{i + 1} AS (SELECT l.query_id, l.chunk_id, l.was, l.score, greatest(l.worst, coalesce(likeness, 0)) AS worst
+  FROM left_{i} l JOIN chosen_{i} c ON c.query_id = l.query_id AND c.was <> l.was LEFT JOIN alike ON a = l.chunk_id AND b = c.chunk_id)""")
+    return ",".join(parts)
+
+
+_CHOSEN = " UNION ALL ".join(f"SELECT query_id, {i} AS rank, chunk_id, score FROM chosen_{i}" for i in range(1, 9))
+
+
+@query(f"""WITH {_PHRASES}{_BM25}, pool AS (SELECT query_id, chunk_id, rank AS was, {_MINMAX.format('bm25')} AS score FROM ranked WHERE rank <= {POOL} WINDOW w AS (PARTITION BY query_id)),
+{_mmr('pool')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ({_CHOSEN})""")
 def mmr_select(spark, sf_dir):
     chunks, asked = chunks_of(spark, sf_dir), questions(spark, sf_dir)
     hits = lexical.bm25_top(chunks, asked, POOL).withColumn("score", fusion.minmax(F.col("bm25"), Window.partitionBy("query_id")))

@@ -481,13 +481,36 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-@query()
+_SAID = """WITH answers AS (SELECT conv_id, turn, text || ' [S' || turn || '; s ' || (conv_id % 5) || '][S2] [see S]' AS answer FROM conversations),
+cut AS (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(answer, '([。．！？!?\\n；])', '\\1' || chr(1), 'g'), '[.](\\s)', '.' || chr(1) || '\\1', 'g'), chr(1)) AS p FROM answers),
+said AS (SELECT * FROM (SELECT conv_id, turn, unnest(range(len(p))) AS place, trim(unnest(p), ' ' || chr(9) || chr(10) || chr(13)) AS raw FROM cut) WHERE raw <> ''),
+sentences AS (SELECT *, regexp_replace(regexp_replace(lower(raw), '\\[[^\\[\\]]+\\]', ' ', 'g'), '\\s+', '', 'g') AS bare FROM said)"""
+
+
+def _grams_sql(c: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({c})), lambda i: substr({c}, i, 2)))"
+
+
+@query(f"""{_SAID},
+claims AS (SELECT conv_id, turn, {_grams_sql('b')} AS claim FROM (SELECT conv_id, turn, arg_max(bare, place) AS b FROM sentences WHERE length(bare) >= 2 GROUP BY ALL)),
+bodies AS (SELECT conv_id, turn, [text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), 'Nothing that any turn would say.'] AS bodies FROM conversations),
+sources AS (SELECT conv_id, turn, s, {_grams_sql('b')} AS grams FROM (SELECT conv_id, turn, unnest([1, 2, 3]) AS s, regexp_replace(lower(unnest(bodies)), '\\s+', '', 'g') AS b FROM bodies)),
+held AS (SELECT conv_id, turn, s, len(list_intersect(claim, grams)) / len(claim)::DOUBLE AS o FROM claims JOIN sources USING (conv_id, turn)),
+judged AS (SELECT conv_id, turn, a.s AS n, any_value(a.o) AS own, max(b.o) AS best FROM held a JOIN held b USING (conv_id, turn) WHERE a.s <> b.s AND a.s IN (turn, conv_id % 5, 2) GROUP BY ALL),
+sets AS (SELECT conv_id, turn, string_agg(n, ',' ORDER BY n) FILTER (own >= 0.3) AS confirmed, string_agg(n, ',' ORDER BY n) FILTER (own < 0.3 AND best >= 0.3 AND best - own >= 0.2) AS misattributed FROM judged GROUP BY ALL)
+SELECT conv_id, turn, coalesce(confirmed, '') AS confirmed, coalesce(misattributed, '') AS misattributed FROM conversations LEFT JOIN sets USING (conv_id, turn)""")
 def verify_grounding(spark, sf_dir):
     found = citations.grounding(cited_answers(spark, sf_dir), answer_sources(spark, sf_dir).select("answer_id", "s", "body"))
     return found.select("answer_id.conv_id", "answer_id.turn", F.array_join(F.col("confirmed").cast("array<string>"), ",").alias("confirmed"), F.array_join(F.col("misattributed").cast("array<string>"), ",").alias("misattributed"))
 
 
-@query()
+@query(f"""{_SAID},
+judged AS (SELECT *, length(bare) >= 5 AS claims, contains(raw, '[S2]') AS cites,
+  contains(raw, '?') OR split_part(lower(regexp_extract(raw, '[^\\s]+')), chr(39) , 1) IN ({', '.join(repr(w) for w in X.QUESTION_WORDS)})
+  OR len(list_filter([{', '.join(repr(d) for d in citations.DISCLAIMERS)}], lambda d: contains(raw, d))) > 0 AS excused FROM sentences),
+flagged AS (SELECT *, coalesce(lead(cites AND NOT claims) OVER (PARTITION BY conv_id, turn ORDER BY place), false) AS vouched FROM judged),
+found AS (SELECT conv_id, turn, string_agg(raw, '|' ORDER BY place) AS uncited FROM flagged WHERE claims AND NOT cites AND NOT excused AND NOT vouched GROUP BY ALL)
+SELECT conv_id, turn, coalesce(uncited, '') AS uncited FROM conversations LEFT JOIN found USING (conv_id, turn)""")
 def uncited_sentences(spark, sf_dir):
     rows = citations.uncited(cited_answers(spark, sf_dir))
     return rows.select("answer_id.conv_id", "answer_id.turn", F.array_join("uncited", "|").alias("uncited"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from marginalia.operators import lexical, scan
+from marginalia.operators import lexical, retrieve, scan, vector
 
 TEXTS = [
     "anana bananana anan", "知の書斎で猫と対話する。書斎 々々", "", None, "x" * 50 + " aaa aaaa", "the fox-fox foxfox_fox 9fox", "コンピュータ こんぴゅーた 猫猫猫",
@@ -60,3 +60,17 @@ def test_small_slices(chunks, asked, monkeypatch):
         first.add(np.array([0, 1]), np.array([score, -score]), np.array([int(score), 7]), np.array([0, 0]))
     assert [x.tolist() for x in first.rows()[:3]] == [[0, 0, 1, 1], [3.0, 3.0, -1.0, -2.0], [3, 3, 7, 7]]
     assert terms.postings["a"][2].tolist() == [0, 1, 0] and rows_of(lexical.bm25_top(chunks, asked, 3)) == want
+
+
+def test_vector_scan_is_cosine_to_the_bit(chunks, asked, monkeypatch):
+    got = vector.vector_search(chunks, asked, 5)
+    assert "zip_with" not in got._jdf.queryExecution().toString()
+    found = rows_of(got)
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 0)
+    assert found == rows_of(vector.vector_search(chunks, asked, 5)) != []
+
+
+def test_texts_apart_from_embeddings(chunks, asked):
+    columns = ["query_id", "rank", "chunk_id", "score"]
+    want = rows_of(retrieve.retrieve(chunks, asked, 3).select(*columns))
+    assert want == rows_of(retrieve.retrieve(chunks.drop("embedding"), asked, 3, embedded=chunks.drop("text", "context")).select(*columns)) != []

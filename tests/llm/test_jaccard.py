@@ -1,6 +1,10 @@
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
+
+from marginalia.llm import bytewise, jaccard
 from marginalia.llm.jaccard import JaccardJoin, divide_skip
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -82,3 +86,13 @@ def test_divide_skip_counts_exactly():
         required = np.full(60, least) + np.arange(60) % 7
         want = [len(np.intersect1d(query, s)) for s in sets]
         assert divide_skip(query, sets, required).tolist() == [w if w >= r else -1 for w, r in zip(want, required)]
+
+
+def test_sets_are_made_in_little_memory():
+    """Workers of all cores of an executor hold their slices at once, beside its heap."""
+    column = pa.array([" ".join(f"w{i}x{j}" for j in range(400)) for i in range(1500)])
+    tracemalloc.start()
+    n = sum(len(s) for _, texts in bytewise.slices(column) for s in jaccard.shingle_sets(texts, 3, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1500 * 398 and peak < 50_000_000

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytewise
-from .shared import fresh
+from .shared import fresh, light_batches
 
 DEPTH = 400
 PER_LANGUAGE = 1000
@@ -142,19 +142,22 @@ def fit(
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its score (1 less the distance as a share of the largest possible)."""
+    light_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(profiles)  # depth x languages entries
     replaced = {n.lower() for n in names}
     others = [c for c in docs.columns if c.lower() not in replaced]
+    place = next((i for i, c in enumerate(others) if c.lower() == text_col.lower()), None)
+    asked = [] if place is not None else [F.col(text_col).alias(fresh(others, "_text"))]  # texts go to a worker once
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            found = [model.predict(x.as_py()) for x in batch.column(0)]
+            found = [model.predict(x.as_py()) for x in batch.column(place or 0)]
             made = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*others, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(asked) :], *made], [*others, *names])
 
     schema = docs.select(*others).schema.add(names[0], "string").add(names[1], "double")
-    return docs.select(F.col(text_col).alias(fresh(others, "_text")), *others).mapInArrow(bytewise.tidied(predict), schema)
+    return docs.select(*asked, *others).mapInArrow(bytewise.tidied(predict), schema)
 
 
 def held_out(id_col: Column) -> Column:

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise
+from .shared import light_batches
 
 CAPACITY = 4096
 BLOCK = 1024
 QUADRATIC = 1 / 2048
-SLICE_BYTES = 1 << 23
+#: Texts encoded at a time: workers of all cores of an executor hold their slices at once, beside its heap.
+SLICE_BYTES = 1 << 21
 CACHE = 300_000
 _encoders: dict[str, WordEncoder] = {}
 
@@ -257,6 +259,7 @@ def pack(
     capacity: int = CAPACITY, block: int = BLOCK, quadratic: float = QUADRATIC,
 ) -> DataFrame:
     """One row per piece: id, ``start``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
+    light_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

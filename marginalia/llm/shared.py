@@ -94,6 +94,17 @@ def scratch_scope() -> Iterator[None]:
             scratch.drop("")
 
 
+#: Rows of a batch that a Python worker gets; whole texts make batches of many MB, held on both sides of the pipe.
+BATCH_ROWS = 2000
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: the setting is read when a plan runs, so it stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh(taken: list[str], name: str) -> str:
     """``name``, or with as many underscores behind it that no column has it; Spark's names ignore case."""
     low = {c.lower() for c in taken}

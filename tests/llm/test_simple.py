@@ -229,3 +229,29 @@ def test_tidied_yields_the_same_and_gives_memory_back(monkeypatch):
 
 def test_give_back_runs_here():
     bytewise.give_back()
+
+
+def test_texts_go_to_workers_once_in_light_batches(spark):
+    """Batches are held by the executor and by all its workers at once."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame(documents(n=40), SCHEMA)
+    found = language.identify(docs, language.fit(docs, "doc_id", "text", "lang"))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.children().head().output().size() == len(docs.columns)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    want = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs.select("doc_id", "text"), language.fit(docs, "doc_id", "text", "lang")).collect()}
+    got = found.collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == want and sorted(tuple(r)[:5] for r in got if r["text"]) == sorted(tuple(r) for r in docs.collect() if r["text"])
+
+
+def test_packing_encodes_few_texts_at_a_time():
+    import tracemalloc
+
+    encoder = packing.encoder(queries.tokenizer_path())
+    rng = random.Random(5)
+    texts = pa.array([" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "and"]) for _ in range(packing.SLICE_BYTES // 500)) for _ in range(100)])
+    tracemalloc.start()
+    encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000

@@ -7,13 +7,16 @@ one shuffle on the shingle. What a list brings together is then settled by ``div
 the short lists of the sets that meet, long ones are probed by binary search, and the sets that reach the
 required overlap stay.
 
-Equal shingle sets stand as one. Lists of very frequent shingles are cut into pieces before the shuffle.
+A list is kept apart by classes of set sizes; a set is filed in each class that holds a size it could link
+to, none larger than its own, so two sets that link meet in the class of the smaller, and sets of unlike
+sizes never do. Equal shingle sets stand as one. Lists of very frequent shingles are cut into pieces before the shuffle.
 A list is never expanded into all its pairs: in rounds, each list tests one centre (first the set that
 shares the largest part of its short lists, then others by hash) against its sets of other components;
 those linked to it join its component, and by the triangle inequality of the Jaccard distance a set
 further than twice the limit from the first centre cannot link to one within the limit. After the rounds,
 only pairs still in different components are tested. Pairs whose parity maps differ in more bits than
-linked sets may differ in shingles are never looked at; that test loses nothing.
+linked sets may differ in shingles are never looked at; large sets have a longer map besides, as one of
+fixed length tells them apart no more. Those tests lose nothing.
 
 Defined cases: a null or empty text has the empty set and links with nothing; fewer words than a shingle
 make one shingle; texts of any length are read whole; repeated rows are equal sets and get one row each;
@@ -45,6 +48,11 @@ SLOW_ROUND = 0.7
 #: Bits of a set's parity map: bit b tells whether an odd number of its shingles hash to b.
 PARITY_BITS = 1024
 MAP = [f"b{i}" for i in range(PARITY_BITS // 64)]
+#: A size class spans so many times, in logarithms, what the sizes of two linked sets may differ by.
+CLASS_SPAN = 4
+_CLASS = np.uint64(0xD1B54A32D192ED03)  # times a class's number, tells its lists from others of the shingle
+#: Long maps are sent to every task up to so many bytes; there are few pairs to shuffle to them otherwise.
+WIDE_BYTES = 8 << 20
 #: Shingles that one group of a centre may hold; larger groups are split and the centre is repeated.
 GROUP_SHINGLES = 1 << 16
 #: The table of counts: buckets by the shingle's top bits, sent to the driver and back in blocks.
@@ -93,7 +101,7 @@ def count_blocks(names: list[str], blocks: np.ndarray, counts: np.ndarray) -> pa
     for b in blocks.tolist():
         own = counts[b << BLOCK_BITS :][: 1 << BLOCK_BITS]
         raw.append(own.astype(np.min_scalar_type(own.max())).tobytes())
-    empty = [pa.nulls(len(blocks), pa.int64()) for _ in names[:-2]]
+    empty = [pa.nulls(len(blocks), pa.list_(pa.int64()) if name == "wide" else pa.int64()) for name in names[:-2]]
     return pa.RecordBatch.from_arrays([*empty, pa.array(blocks, pa.int32()), pa.array(raw, pa.binary())], names)
 
 
@@ -101,8 +109,8 @@ def read_counts(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{len(raw) >> BLOCK_BITS}")
 
 
-def parity_map(shingles: np.ndarray) -> np.ndarray:
-    counts = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+def parity_map(shingles: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(bool)).view(np.int64)
 
 
@@ -161,12 +169,24 @@ class Bounds:
         """Shortest lists of a set of n of which any partner shares one."""
         return n - -(-self.percent * n // 100) + 1
 
+    def classes(self, n: int) -> range:
+        """Size classes in which a set of n is filed: of its own size and of all less that a partner may have."""
+        step = CLASS_SPAN * np.log(100 / min(self.percent, 99))
+        return range(int(np.log(-(-self.percent * n // 100)) / step), int(np.log(n) / step) + 1)
+
+    def wide_bits(self, n: int) -> int:
+        """Bits of a large set's own map: four times or more what it and a near one may differ by; 0 for a small set."""
+        near = max(1, 2 * self.percent - 100)
+        bits = 1 << (8 * n * (100 - near) // (100 + near)).bit_length()
+        return bits if bits > PARITY_BITS else 0
+
 
 class ShingleCounts:
     """How often the shingles of each bucket were counted, as logarithms: the order of the lists."""
 
     def __init__(self, counts: np.ndarray):
-        self.levels = np.round(np.log2(1.0 + counts) * 1000).astype(np.uint16)
+        blocks = np.array_split(counts, 64)  # the driver needs room for little more than the result
+        self.levels = np.concatenate([np.round(np.log2(1.0 + x) * 1000).astype(np.uint16) for x in blocks])
         self.most = 4 * float(counts.mean()) + LIST_ROWS
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
@@ -192,8 +212,8 @@ class JaccardJoin:
 
     def summaries(self) -> DataFrame:
         """Per document: size, signature and parity map of its set; then the task's shingle counts, in blocks."""
-        k, lower = self.k, self.lower
-        names = ["id", "n", "one", "two", *MAP, "block", "counts"]
+        k, lower, wide_bits = self.k, self.lower, self.bounds.wide_bits
+        names = ["id", "n", "one", "two", *MAP, "wide", "block", "counts"]
 
         def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(1 << COUNT_BITS, np.uint32)
@@ -207,7 +227,8 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(row, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                            *(pa.array(np.ascontiguousarray(column)) for column in maps.T), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
+                            *(pa.array(np.ascontiguousarray(column)) for column in maps.T),
+                            pa.array([parity_map(s, b) if (b := wide_bits(len(s))) else None for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
                         ],
                         names,
                     )
@@ -215,7 +236,7 @@ class JaccardJoin:
             if len(blocks):
                 yield count_blocks(names, blocks, counts)
 
-        return self.docs.mapInArrow(bytewise.tidied(summarise), ", ".join(f"{name} long" for name in names[:-2]) + ", block int, counts binary")
+        return self.docs.mapInArrow(bytewise.tidied(summarise), ", ".join(f"{name} long" for name in names[:-3]) + ", wide array<long>, block int, counts binary")
 
     def counts(self, summary: DataFrame) -> ShingleCounts:
         """The counts of all tasks, summed in steps; the driver receives the table's fixed size."""
@@ -236,31 +257,40 @@ class JaccardJoin:
         # tasks of the last step hold some blocks each, of all partial sums
         made = made.repartition(COUNT_TASKS, "block").mapInArrow(scanned, "block int, counts binary")
         total = np.zeros(1 << COUNT_BITS, np.uint64)
-        for row in made.toArrow().to_pylist():
-            total[row["block"] << BLOCK_BITS :][: 1 << BLOCK_BITS] = read_counts(row["counts"])
-        return ShingleCounts(total)
+        for batch in made.toArrow().to_batches():
+            for block, raw in zip(*(batch.column(c) for c in names)):
+                total[block.as_py() << BLOCK_BITS :][: 1 << BLOCK_BITS] = read_counts(raw.as_py())
+        order = ShingleCounts(total)
+        del made, total
+        bytewise.give_back()
+        return order
 
     def short_lists(self, order: ShingleCounts) -> DataFrame:
         """(key, one, piece, pieces): the short lists of every set that other sets are in too; key tells shingle and piece."""
-        k, lower, prefix = self.k, self.lower, self.bounds.prefix
+        k, lower, prefix, classes = self.k, self.lower, self.bounds.prefix, self.bounds.classes
         sent = self.docs.sparkSession.sparkContext.broadcast(order)  # two bytes a bucket
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order, seen = sent.value, set()
             for batch in batches:
                 for _, texts in bytewise.slices(batch.column(0)):
-                    lists, ones = [], []
+                    lists, ones, kinds = [], [], []
                     for s in shingle_sets(texts, k, lower):
                         if len(s) and (own := signature(s)) not in seen:
                             if len(seen) < SEEN:
                                 seen.add(own)
-                            lists.append(order.shortest(s, prefix(len(s))))
-                            ones.append(own[0])
+                            short = order.shortest(s, prefix(len(s)))
+                            for kind in classes(len(s)):
+                                lists.append(short)
+                                ones.append(own[0])
+                                kinds.append(kind)
                     if not lists:
                         continue
-                    one = np.repeat(np.array(ones, np.int64), [len(x) for x in lists])
+                    lengths = [len(x) for x in lists]
+                    one = np.repeat(np.array(ones, np.int64), lengths)
                     token = np.concatenate(lists)
                     pieces = order.pieces(token)
+                    token = bytewise.mix(token ^ (np.repeat(np.array(kinds, np.uint64), lengths) * _CLASS))
                     piece = np.where(pieces > 1, one % np.maximum(pieces, 1), 0)
                     key = token.view(np.int64) ^ (piece * _PIECE)
                     cut = np.where(pieces > 1, (pieces << 16) + piece, 0).astype(np.int32)
@@ -348,7 +378,19 @@ class JaccardJoin:
     def possible(self, pairs: DataFrame, percent: int) -> DataFrame:
         """Of pairs (c, cn, id, n), those that may reach ``percent``."""
         pairs = pairs.filter(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent).distinct()
-        return self.mapped(self.mapped(pairs), "c").filter(self.alike(percent)).select("c", "id", "n")
+        return self.wide_alike(self.mapped(self.mapped(pairs), "c").filter(self.alike(percent)).select("c", "cn", "id", "n"), percent)
+
+    def wide_alike(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """(c, id, n) of the pairs (c, cn, id, n) whose long maps, the longer one folded, allow ``percent``, or that have none."""
+        for key, name in (("id", "_w"), ("c", "_cw")):
+            maps = self.wide.select(F.col("id").alias(key), F.col("wide").alias(name))
+            pairs = pairs.join(F.broadcast(maps) if self.wide_fits else maps, key, "left")
+        words = "least(size(_w), size(_cw))"
+        a, b = (f"if(size({w}) > {words}, zip_with(slice({w}, 1, {words}), slice({w}, {words} + 1, {words}), (x, y) -> x ^ y), {w})" for w in ("_w", "_cw"))
+        differ = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)")
+        both = F.col("n") + F.col("cn")
+        unknown = F.expr(f"_w IS NULL OR _cw IS NULL OR greatest(size(_w), size(_cw)) > 2 * {words}")
+        return pairs.filter(F.when(unknown, True).otherwise(differ <= both - 2 * F.ceil(percent * both / (100 + percent)))).select("c", "id", "n")
 
     @staticmethod
     def against(lists: DataFrame, centre: DataFrame) -> DataFrame:
@@ -363,11 +405,13 @@ class JaccardJoin:
         order = self.counts(scanned)
         summary = scanned.filter("block IS NULL").select("id", "n", "one", "two")
         same = ["n", "one", "two"]
-        distinct = scanned.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), *(F.first(b).alias(b) for b in MAP))
+        distinct = scanned.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), *(F.first(b).alias(b) for b in [*MAP, "wide"]))
         distinct = scratch.save(distinct, "distinct")
         lists = scratch.save(self.filed(distinct, order), "lists")
         met = lists.select("id").distinct()
         self.maps = scratch.save(distinct.select("id", "one", *MAP).join(met, "id", "left_semi"), "maps")
+        self.wide = scratch.save(distinct.filter("wide IS NOT NULL").select("id", "wide").join(met, "id", "left_semi"), "wide")
+        self.wide_fits = (self.wide.agg(F.sum(F.size("wide") * 8 + 40)).first()[0] or 0) <= WIDE_BYTES
         self.signatures = self.maps.select("id", "one")
         lists = lists.withColumns({"label": F.col("id"), "used": F.lit(0), "state": F.lit(1)})
         near_percent = max(1, 2 * self.percent - 100)
@@ -416,7 +460,8 @@ class JaccardJoin:
         lists = self.mapped(lists)
         other = lists.select("token", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("state").alias("cs"), *(F.col(b).alias(f"c{b}") for b in MAP), pieces.alias("piece"))
         apart = (F.col("label") != F.col("cl")) & (F.col("c") < F.col("id")) & (F.abs(F.col("state") - F.col("cs")) < 2)
-        pairs = lists.join(other, ["token", "piece"]).filter(apart & self.alike(self.percent)).select("c", "id", "n").distinct().join(tested, ["c", "id"], "left_anti")
+        pairs = lists.join(other, ["token", "piece"]).filter(apart & self.alike(self.percent)).select("c", "cn", "id", "n").distinct().join(tested, ["c", "id"], "left_anti")
+        pairs = self.wide_alike(pairs, self.percent)
         found, _ = self.measure(pairs, "rest")
         links = links.unionByName(found.filter("linked").select(F.col("c").alias("u"), F.col("id").alias("v")))
         grouped = scratch.save(components(links, scratch, "graph-rest").withColumnRenamed("id", "rep"), "grouped")

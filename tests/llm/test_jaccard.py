@@ -96,3 +96,58 @@ def test_sets_are_made_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 1500 * 398 and peak < 50_000_000
+
+
+def test_linked_sizes_meet_in_a_class():
+    for percent in (50, 80, 90, 100):
+        bounds = jaccard.Bounds(percent)
+        for x in range(1, 3000):
+            own = bounds.classes(x)
+            for y in {-(-percent * x // 100), x - 1, x} - {0}:
+                if 100 * y >= percent * x:
+                    assert bounds.classes(y)[-1] in own
+
+
+def large(words, seed, n):
+    rng = random.Random(seed)
+    return [f"{words}{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_large_sets_near_the_limit(spark):
+    """Sizes on both sides of a power of two of the long maps, edits around the limit."""
+    rows = []
+    for family, n in enumerate((1500, 2290, 2310, 4600)):
+        base = large("w", family, n)
+        for edits in (0, 10, n // 70, n // 58, n // 50):
+            text = list(base)
+            for at in random.Random(edits).sample(range(n), edits):
+                text[at] = f"e{at}"
+            rows.append((len(rows), " ".join(text[: n - edits // 2])))
+    assert result(spark, rows, k=3, percent=90) == brute(rows, 3, 90)
+    assert result(spark, rows, k=5, percent=80) == brute(rows, 5, 80)
+
+
+def test_unlike_large_sets_are_not_sent(spark):
+    """Whole sets go only where the maps allow a link; one shared passage makes none."""
+
+    class Counted(JaccardJoin):
+        sent = 0
+
+        def measure(self, pairs, name):
+            found = super().measure(pairs, name)
+            Counted.sent += found[1].count()
+            return found
+
+    passage = large("p", 9, 900)
+    rows = [(i, " ".join(large("w", i, 5200 + 10 * i) + passage)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in Counted(df, k=3, percent=90).run().collect()}
+    assert found == {i: i for i in range(6)} and Counted.sent == 0
+
+
+def test_unlike_sizes_share_no_list(spark):
+    passage = large("p", 9, 30)
+    rows = [(i, " ".join(passage + large("w", i, 4 << (2 * i)))) for i in range(6)]
+    join = JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90)
+    order = join.counts(join.scratch.save(join.summaries(), "summary"))
+    assert join.short_lists(order).count() == 0

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import jaccard, language, mixing, packing, queries, substrings
-from marginalia.llm.shared import Scratch, fits, fresh, scratch_scope
+from marginalia.llm.shared import Scratch, fits, free_heaps, fresh, scratch_scope
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document whose nearest profile is this far off is in no known language.
 LEAST_SCORE = 0.2
@@ -18,6 +21,18 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 PASSAGE_WORDS = 50
 
 
+def on_free_heaps(stage: Stage) -> Stage:
+    """``stage``, before which executors give back what the stages before it made their heaps grow to."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@on_free_heaps
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters or near no language's profile.
 
@@ -30,6 +45,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return known.select(*docs.columns)
 
 
+@on_free_heaps
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the least id stays.
 
@@ -48,6 +64,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return left.join(few, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
+@on_free_heaps
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long passages are cut out of the texts; a document that loses all its words goes.
 
@@ -62,6 +79,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@on_free_heaps
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source up to its target: whole epochs of it, then documents in random order up to the cut.
 
@@ -72,12 +90,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@on_free_heaps
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids; a null or empty text is one end token, repeated rows are packed each, an empty table gives no piece."""
     return packing.pack(docs, queries.tokenizer_path(), queries.END_ID)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language ID", identify_language),
     ("n-gram Jaccard join", drop_near_copies),
     ("substring dedup", cut_repeated_passages),

@@ -35,6 +35,8 @@ QUADRATIC = 1 / 2048
 #: Texts encoded at a time: workers of all cores of an executor hold their slices at once, beside its heap.
 SLICE_BYTES = 1 << 21
 CACHE = 300_000
+#: Pieces of a batch that goes back, 8 MB of ids at most with sequences of 4,096: a worker and its executor hold copies of it.
+PIECES = 512
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -227,8 +229,8 @@ class Packer:
     def flush(self, sequences: int, capacity: int) -> Iterator[pa.RecordBatch]:
         placed, rest = fill([len(x[2]) for x in self.items], sequences, capacity, self.quadratic)
         placed.sort(key=lambda p: (p[3], p[4]))
-        for at in range(0, len(placed), 4096):
-            rows = [(self.items[i], start, n, s, offset) for i, start, n, s, offset in placed[at : at + 4096]]
+        for at in range(0, len(placed), PIECES):
+            rows = [(self.items[i], start, n, s, offset) for i, start, n, s, offset in placed[at : at + PIECES]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[0] for x, *_ in rows], self.kind),

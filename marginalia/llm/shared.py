@@ -105,6 +105,16 @@ def light_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Has executors collect all garbage: a heap that once grew is else held beside the Python workers of whatever comes next.
+
+    One task a core, all sent out at once. An executor that gets none keeps its heap; no result depends on it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    collected = F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, cores, 1, cores).select(collected.alias("_")).write.format("noop").mode("overwrite").save()
+
+
 def fresh(taken: list[str], name: str) -> str:
     """``name``, or with as many underscores behind it that no column has it; Spark's names ignore case."""
     low = {c.lower() for c in taken}

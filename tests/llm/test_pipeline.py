@@ -63,3 +63,14 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_each_stage_starts_on_free_heaps(spark, folder):
+    """A local session's tasks run in the driver's JVM, so its full collections can be counted."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+    pack, docs = dict(corpus_pipeline.STAGES)["packing"], queries.table(spark, folder, "documents")
+    before = full()
+    pack(spark, docs, folder)
+    assert full() >= before + 1
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)

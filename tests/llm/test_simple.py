@@ -255,3 +255,10 @@ def test_packing_encodes_few_texts_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60_000_000
+
+
+def test_packing_gives_small_batches_back():
+    packer = packing.Packer(0, pa.int64(), 4096, 1024, packing.QUADRATIC)
+    made = [b for i in range(1100) for b in packer.add(i, np.full(4096, i, np.uint32))] + list(packer.close())
+    assert sum(b.num_rows for b in made) == 1100 and max(b.nbytes for b in made) < 9_000_000
+    assert sorted(set(np.frombuffer(b"".join(b["ids"][k].as_py() for b in made for k in range(b.num_rows)), "<u4").tolist())) == list(range(1100))

@@ -131,3 +131,14 @@ def test_benchmark_texts_are_asked_whole(spark, tmp_path):
     assert {(r["query_id"], r["chunk_id"]): r["score"] for r in queries.QUERIES["like_fallback"](spark, where).collect()} == counts
     found = {(r["query_id"], r["chunk_id"]) for r in queries.QUERIES["lexical_search"](spark, where).collect()}
     assert (0, 0) in found and (1, 3) in found and (1, 4) in found  # document 4 holds the two-letter term alone
+
+
+def test_hybrid_scores_chunks_of_any_id(spark, tmp_path):
+    """The best chunk of the substring scan comes after 2,100 of lower id, where BM25 finds nothing and where it finds one."""
+    where, last = f"file://{tmp_path}", 2100
+    texts = ["zebra"] + ["is none"] * (last - 1) + ["is is is is"]
+    spark.createDataFrame([(0, "is"), (1, "zebra is")], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{where}/embeddings.parquet")
+    got = {(r["query_id"], r["chunk_id"]): r["bm25"] for r in queries.QUERIES["retrieve_hybrid"](spark, where).collect()}
+    assert got.get((0, last)) == got.get((1, last)) == 4.0 and (1, 0) in got and len(got) == 16

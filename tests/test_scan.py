@@ -50,6 +50,20 @@ def test_substring_scan(chunks, asked, monkeypatch):
         assert "Generate" not in got._jdf.queryExecution().toString()
 
 
+def test_whole_substring_scan(spark, chunks, asked, monkeypatch):
+    """Of all chunks, but no more of a task than may come in; all of a query whose exclusions are still to drop some."""
+    best = lexical.substring_scores(chunks, asked, None, best=2)
+    assert rows_of(lexical.top(best, "bm25", 2)) == rows_of(lexical.top(lexical.substring_scores(chunks, asked, None), "bm25", 2)) != []
+    assert max(r["count"] for r in best.groupBy("query_id").count().collect()) <= 2 * best.rdd.getNumPartitions()
+    texts = ["fox aa", "fox aa -9fox", "aa", "aa -aaaa", "foxfox an -fox-fox", "the ab -cão", "anan ab", "猫猫猫 an", "zzzz aa -foxfox"]
+    some = spark.createDataFrame([(i, "ab"[i % 2], q) for i, q in enumerate(texts * 2)] + [(90 + i, "b", q) for i, q in enumerate(texts)], "query_id long, notebook_id string, query string")
+    for k in (1, 3):
+        want = rows_of(lexical.lexical_search(chunks, some, k, 1000))
+        assert rows_of(lexical.lexical_search(chunks, some, k, None)) == want != []
+    monkeypatch.setattr(lexical, "_batch", lambda *_: None)
+    assert rows_of(lexical.lexical_search(chunks, some, 3, None)) == want
+
+
 def test_small_slices(chunks, asked, monkeypatch):
     want = rows_of(lexical.bm25_top(chunks, asked, 3, 0))
     monkeypatch.setattr(scan, "SLICE_BYTES", 1)
